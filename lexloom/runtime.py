@@ -44,6 +44,16 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly when the input has fewer partitions than the session has cores.
+
+    Meant before heavy per-row text work on a few large files; an input that already has enough
+    partitions (any real corpus) is left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def values_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
     """A small table of literal rows that the optimizer knows the size of.
 
