@@ -41,20 +41,19 @@ def _word_runs(split: DataFrame) -> DataFrame:
     listed, and each run becomes one posting. Nothing is grouped across rows, so building an
     index needs no shuffle.
     """
-    pairs = split.withColumn("_sorted", F.array_sort("_pairs")).withColumn("_starts", F.filter(
-        F.sequence(F.lit(1), F.size("_sorted")),
-        lambda at: (at == 1) | (F.try_element_at("_sorted", at)["term"]
-                                != F.get(F.col("_sorted"), at - 2)["term"])))
+    pairs = split.withColumn("_sorted", F.sort_array("_pairs")).withColumn("_starts", F.filter(
+        F.transform("_sorted", lambda _, i: i),
+        lambda at: (at == 0) | (F.get("_sorted", at)["term"] != F.get("_sorted", at - 1)["term"])))
 
     def run(at, i):
-        end = F.coalesce(F.get("_starts", i + 1), F.size("_sorted") + 1)
-        positions = F.transform(F.slice("_sorted", at, end - at), lambda p: p["pos"])
-        return F.struct(F.element_at("_sorted", at)["term"].alias("term"), (end - at).cast("int").alias("tf"),
+        end = F.coalesce(F.get("_starts", i + 1), F.size("_sorted"))
+        positions = F.transform(F.slice("_sorted", at + 1, end - at), lambda p: p["pos"])
+        return F.struct(F.get("_sorted", at)["term"].alias("term"), (end - at).cast("int").alias("tf"),
                         positions.alias("positions"))
 
-    rows = pairs.where(F.size("_pairs") > 0).select(
-        "collection", "doc_id", "doc_len", F.inline_outer(F.transform("_starts", run)))
-    return rows.select("collection", "term", "doc_id", "tf", "doc_len", "positions")
+    rows = pairs.select(
+        "collection", "doc_id", F.size("_pairs").alias("doc_len"), F.inline_outer(F.transform("_starts", run)))
+    return rows.where(F.col("term").isNotNull()).select("collection", "term", "doc_id", "tf", "doc_len", "positions")
 
 
 def postings(docs: DataFrame, id_col: str, fields: list[str], collection: str | None = None) -> DataFrame:
@@ -63,8 +62,9 @@ def postings(docs: DataFrame, id_col: str, fields: list[str], collection: str |
     split = docs.select(
         (F.lit(collection) if collection else F.col("collection")).alias("collection"), F.col(id_col).alias("doc_id"),
         *[words(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"_w{i}") for i, f in enumerate(fields)])
-    pairs = F.concat(*[_offset_tokens(f"_w{i}", i * FIELD_GAP) for i in range(len(fields))])
-    return _word_runs(split.select("collection", "doc_id", F.size(pairs).alias("doc_len"), pairs.alias("_pairs")))
+    parts = [_offset_tokens(f"_w{i}", i * FIELD_GAP) for i in range(len(fields))]
+    pairs = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return _word_runs(split.select("collection", "doc_id", pairs.alias("_pairs")))
 
 
 def query_postings(docs: DataFrame, id_col: str, fields: list[str], only_terms: DataFrame,
@@ -80,7 +80,7 @@ def query_postings(docs: DataFrame, id_col: str, fields: list[str], only_terms:
     tokens = _tokens(docs, id_col, fields, collection).join(kept, "term", "left_semi")
     return tokens.groupBy("collection", "term", "doc_id").agg(
         F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"),
-        F.array_sort(F.collect_list("pos")).alias("positions"))
+        F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def doc_stats(docs: DataFrame, id_col: str, fields: list[str], collection: str | None = None) -> DataFrame:
