@@ -21,7 +21,7 @@ def read_directory_csv(spark: SparkSession, path: str, schema: str, mails_col: s
     """`;`-delimited contact file with header; the address list becomes an array."""
     df = spark.read.schema(schema).csv(path, sep=";", header=True, multiLine=True, escape='"', enforceSchema=False)
     if mails_col in df.columns:
-        parts = F.transform(F.split(F.coalesce(mails_col, F.lit("")), ";"), F.trim)
+        parts = F.transform(F.split(F.coalesce(mails_col, F.lit("")), ";"), lambda x: F.trim(x))
         df = df.withColumn(mails_col, F.filter(parts, lambda m: m != ""))
     return df
 
@@ -37,7 +37,7 @@ def read_services_json(spark: SparkSession, path: str) -> DataFrame:
     values = lambda c: F.filter(F.transform(c, lambda v: F.trim(F.coalesce(v["valeur"], F.lit("")))), lambda v: v != "")
     return services.withColumn("type", F.get(known, F.lit(0))).where(F.col("type").isNotNull()).select(
         "type", _s("nom").alias("nom"),
-        F.coalesce(F.filter(F.transform("adresse_courriel", F.trim), lambda m: m != ""), F.array().cast("array<string>")).alias("mails"),
+        F.coalesce(F.filter(F.transform("adresse_courriel", lambda x: F.trim(x)), lambda m: m != ""), F.array().cast("array<string>")).alias("mails"),
         F.coalesce(F.array_join(values("telephone"), ";"), F.lit("")).alias("tel"),
         F.coalesce(F.get(values("site_internet"), F.lit(0)), F.lit("")).alias("site"), _s("id").alias("id"))
 
@@ -107,7 +107,7 @@ def admin_hits(df: DataFrame) -> DataFrame:
         v("Numero_Dossier").alias("numero_dossier"), v("Numero_ECLI").alias("ecli"), v("Formation_Jugement").alias("formation"),
         v("Type_Decision").alias("type_decision"), v("Code_Publication").alias("publication_code"),
         v("lastModified").alias("last_modified"),
-        F.array_join(F.transform(paragraphs, F.trim), "\n\n").alias("texte"))
+        F.array_join(F.transform(paragraphs, lambda x: F.trim(x)), "\n\n").alias("texte"))
 
 
 COURT_DECISION = ("id string, type string, jurisdiction string, location string, number string, numbers array<string>, decision_date string, "

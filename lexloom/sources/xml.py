@@ -45,12 +45,12 @@ STATUTE_ARTICLE = (
     "BLOC_TEXTUEL struct<CONTENU:string>, NOTA struct<CONTENU:string>")
 
 
-def statute_articles(raw: DataFrame) -> DataFrame:
-    """Article records to version rows."""
+def statute_articles(raw: DataFrame, *keep: str) -> DataFrame:
+    """Article records to version rows; ``keep`` columns pass through."""
     art = "META.META_SPEC.META_ARTICLE"
     title = F.get("CONTEXTE.TEXTE.TITRE_TXT", F.lit(0))
     return raw.where(F.col("META.META_COMMUN").isNotNull() & F.col(art).isNotNull()).select(
-        _s("META.META_COMMUN.ID").alias("legiarti"), _s("CONTEXTE.TEXTE._cid").alias("legitext"),
+        *keep, _s("META.META_COMMUN.ID").alias("legiarti"), _s("CONTEXTE.TEXTE._cid").alias("legitext"),
         _s(f"{art}.NUM").alias("num"), _first(title["_c_titre_court"], title["_VALUE"]).alias("titre_text"),
         _s(f"{art}.ETAT").alias("etat"), _s(f"{art}.DATE_DEBUT").alias("date_debut"), _s(f"{art}.DATE_FIN").alias("date_fin"),
         strip_markup("BLOC_TEXTUEL.CONTENU").alias("texte"), strip_markup("NOTA.CONTENU").alias("nota"))
@@ -107,16 +107,16 @@ DECISION = (
     "SOMMAIRE string, LIENS struct<LIEN:array<struct<_typelien:string,_sens:string,_naturetexte:string,_num:string,_VALUE:string>>>")
 
 
-def decisions(raw: DataFrame) -> DataFrame:
-    """Decision records to the 15-column row shared by the five case-law funds."""
+def decisions(raw: DataFrame, *keep: str) -> DataFrame:
+    """Decision records to the 15-column row shared by the five case-law funds; ``keep`` passes through."""
     j = "META.META_SPEC.META_JURI"
     body = strip_markup(_first("TEXTE.BLOC_TEXTUEL.CONTENU", "TEXTE.CONTENU"))
     # Without a body element the whole text block, header aside, stands in for it.
-    whole = strip_markup(F.concat_ws(" ", F.to_xml("TEXTE") if hasattr(F, "to_xml") else F.to_json("TEXTE")))
+    whole = strip_markup(F.to_xml("TEXTE"))
     summary = strip_markup(F.concat_ws(" ", F.col("TEXTE.SOMMAIRE.CONTENU"), F.array_join("TEXTE.SOMMAIRE.SCT", " "),
                                        F.array_join("TEXTE.SOMMAIRE.ANA", " "), F.col("SOMMAIRE")))
     return raw.where(F.col("META.META_COMMUN").isNotNull()).select(
-        _s("META.META_COMMUN.ID").alias("id"), _s(f"{j}.ECLI").alias("ecli"), _s(f"{j}.JURIDICTION").alias("juridiction"),
+        *keep, _s("META.META_COMMUN.ID").alias("id"), _s(f"{j}.ECLI").alias("ecli"), _s(f"{j}.JURIDICTION").alias("juridiction"),
         _s(f"{j}.FORMATION").alias("formation"), _s(f"{j}.DATE_DEC").alias("date"), _s(f"{j}.NUMERO").alias("numero"),
         _s(f"{j}.SOLUTION").alias("solution"), _s("META.META_COMMUN.NATURE").alias("nature"),
         _s(f"{j}.PRESIDENT").alias("president"), _s(f"{j}.RAPPORTEUR").alias("rapporteur"),

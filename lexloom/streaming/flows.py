@@ -24,11 +24,12 @@ def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
             .trigger(availableNow=True).foreachBatch(handle).start())
 
 
-def stream_deltas(spark: SparkSession, path: str, schema: str, parse: Callable[[DataFrame], DataFrame], target: ChangeTable,
+def stream_deltas(spark: SparkSession, path: str, schema: str, parse: Callable[..., DataFrame], target: ChangeTable,
                   checkpoint: str, row_tag: str | None = None, fmt: str = "xml", files_per_trigger: int = 1000) -> StreamingQuery:
     """Daily delta files of a collection, parsed and merged; later files win.
 
-    The file time orders deliveries, so replaying a day after a newer one changes nothing.
+    ``parse(raw, "_seq")`` projects records and passes the file time through; that time orders
+    deliveries, so replaying a day after a newer one changes nothing.
     """
     reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if row_tag:
@@ -37,10 +38,8 @@ def stream_deltas(spark: SparkSession, path: str, schema: str, parse: Callable[[
         "_seq", F.unix_millis(F.col("_metadata.file_modification_time")))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # The projection drops the file time, so it is parsed per delivery time inside one plan.
-        rows = parse(batch.withColumn("_keep_seq", F.col("_seq")))
-        seq = F.col("_keep_seq") if "_keep_seq" in rows.columns else F.lit(batch_id)
-        target.append(rows.withColumn("seq", seq.cast("long")).withColumn("op", F.lit("modify")), batch_id)
+        rows = parse(batch, "_seq").withColumnRenamed("_seq", "seq")
+        target.append(rows.withColumn("op", F.lit("modify")), batch_id)
 
     return _run(raw, handle, checkpoint)
 
@@ -103,7 +102,10 @@ def usage_counters(spark: SparkSession, path: str, schema: str, target: ChangeTa
     """
     events = spark.readStream.schema(schema).format(fmt).load(path)
     typed = events.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, late)
-    counted = typed.groupBy(F.window(ts_col, every).alias("_w"), F.col(tool_col).alias("tool")).agg(F.count("*").alias("n"))
+    # Local midnight is 22:00 UTC of the day before.
+    start = "22 hours" if every == "1 day" else "0 seconds"
+    window = F.window(ts_col, every, every, start).alias("_w")
+    counted = typed.groupBy(window, F.col(tool_col).alias("tool")).agg(F.count("*").alias("n"))
     pattern = "yyyy-MM-dd" if every == "1 day" else "yyyy-MM-dd'T'HH"
     flat = counted.select(F.date_format(local_time(F.col("_w.start")), pattern).alias("bucket"), "tool", "n")
 
