@@ -11,21 +11,17 @@ from lexloom import dims
 from lexloom.functions.queries import classify_queries, exact_number, route
 from lexloom.operators.filters import to_result
 from lexloom.operators.windows import hit_order, keep_best
-from lexloom.plans.search import match_docs, top_k
+from lexloom.plans.search import match_collections, top_k
+from lexloom.runtime import map_lookup, stage
 
 
-def weighted_union(hits: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame:
-    """Union of ranked hits; ``score = weight − 0.001 · (rank − 1)`` keeps each source's own order.
+def weigh(ranked: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """Score of ranked hits of several sources: ``weight − 0.001 · (rank − 1)``.
 
-    Each input: ``query_id, id, rank`` and any further columns.
+    The decay keeps each source's own order among hits of equal weight. Needs ``source, rank``.
     """
-    weights = weights or dims.AUTHORITY
-    parts = [
-        df.withColumn("source", F.lit(source)).withColumn(
-            "score", F.round(F.lit(float(weights.get(source, 1.0))) - (F.col("rank") - 1) * dims.RANK_DECAY, 6))
-        for source, df in hits.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    weight = map_lookup({s: str(w) for s, w in (weights or dims.AUTHORITY).items()}, F.col("source"), F.lit("1.0"))
+    return ranked.withColumn("score", F.round(weight.cast("double") - (F.col("rank") - 1) * dims.RANK_DECAY, 6))
 
 
 def choose_variant(hits: DataFrame, query_col: str = "query_id", variant_col: str = "variant") -> DataFrame:
@@ -47,13 +43,14 @@ def search_all(queries: DataFrame, tables: dict[str, tuple[DataFrame, str, list[
         F.col("query").isNotNull()).unionByName(queries.select(
             F.struct("query_id", F.lit(1).alias("variant")).alias("query_id"), F.col("query")))
 
-    def one(source: str, df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-        found = match_docs(both, df, id_col, fields, source)
-        if keep and source in keep:
-            found = found.join(df.where(keep[source]).select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
-        return top_k(found, limit).select("query_id", F.col("doc_id").cast("string").alias("id"), "rank")
-
-    merged = weighted_union({s: one(s, *spec) for s, spec in tables.items()}, weights)
+    found = match_collections(both, tables)
+    for source, condition in (keep or {}).items():
+        df, id_col, _ = tables[source]
+        inside = df.where(condition).select(F.lit(source).alias("collection"), F.col(id_col).cast("string").alias("doc_id"))
+        found = found.where(F.col("collection") != source).unionByName(
+            found.join(inside, ["collection", "doc_id"], "left_semi"))
+    ranked = top_k(found, limit).select("query_id", "collection", F.col("doc_id").alias("id"), "rank")
+    merged = weigh(ranked.withColumnRenamed("collection", "source"), weights)
     flat = merged.select("query_id.query_id", "query_id.variant", "source", "id", "rank", "score")
     return choose_variant(flat)
 
@@ -92,23 +89,24 @@ def search_federated(queries: DataFrame, tables: dict[str, tuple[DataFrame, list
     whose number is exactly the one in the query leads.
     """
     allowed = [s for s in dims.COURT_DISPATCH[court] if s in tables]
-    asked = route(classify_queries(queries, "query"), allowed)
-    merged = []
-    for source in allowed:
-        table, fields = tables[source]
-        rows = to_result(table, source)
-        mine = asked.where(F.array_contains("sources", source))
-        direct = direct_hits(mine, rows, source)
-        by_text = mine.where(F.col("intent").isin("fts", "phrase")).unionByName(
-            mine.where(~F.col("intent").isin("fts", "phrase", "empty")).join(
-                direct.select("query_id").distinct(), "query_id", "left_anti"))
-        id_col = next(c for c in ("itemid", "celex", "id") if c in table.columns)
-        found = top_k(match_docs(by_text.select("query_id", "query"), table, id_col, fields, source), per_source)
-        scored = found.select("query_id", F.col("doc_id").cast("string").alias("id"), "score")
-        text_hits = rows.drop("relevance").join(scored, "id").withColumn(
-            "relevance", F.col("score") if source in relevance_sources else F.lit(None).cast("double")).drop("score")
-        merged.append(direct.unionByName(text_hits.select(*direct.columns)))
-    hits = reduce(DataFrame.unionByName, merged)
+    asked = stage(route(classify_queries(queries, "query"), allowed), "routed")
+    pairs = asked.select("*", F.explode("sources").alias("source"))
+    rows = {s: to_result(tables[s][0], s) for s in allowed}
+    direct = reduce(DataFrame.unionByName, [direct_hits(pairs.where(F.col("source") == s), rows[s], s) for s in allowed])
+
+    by_text = pairs.where(F.col("intent") != "empty").join(
+        direct.select("query_id", "source").distinct(), ["query_id", "source"], "left_anti")
+    id_of = {s: next(c for c in ("itemid", "celex", "id") if c in tables[s][0].columns) for s in allowed}
+    matches = match_collections(by_text.select("query_id", "query").distinct(),
+                                {s: (tables[s][0], id_of[s], tables[s][1]) for s in allowed})
+    routed = matches.withColumnRenamed("collection", "source").join(
+        by_text.select("query_id", "source"), ["query_id", "source"], "left_semi")
+    found = top_k(routed, per_source, per=["query_id", "source"]).select(
+        "query_id", "source", F.col("doc_id").alias("id"), "score")
+    everything = reduce(DataFrame.unionByName, rows.values()).drop("relevance")
+    text_hits = everything.join(found, ["source", "id"]).withColumn(
+        "relevance", F.when(F.col("source").isin(list(relevance_sources)), F.col("score"))).drop("score")
+    hits = direct.unionByName(text_hits.select(*direct.columns))
     if date_min or date_max:
         lo, hi = F.lit(date_min or "0001-01-01").cast("date"), F.lit(date_max or "9999-12-31").cast("date")
         hits = hits.where(F.col("date").isNull() | F.col("date").between(lo, hi))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,7 +131,7 @@ def search(queries: DataFrame, posts: DataFrame, corpus: DataFrame, k: int = 20,
 
 
 def scan_postings(atoms: DataFrame, docs: DataFrame, id_col: str, fields: list[str],
-                  collection: str) -> tuple[DataFrame, DataFrame]:
+                  collection: str | None) -> tuple[DataFrame, DataFrame]:
     """Postings and corpus statistics of just the words of a batch, in one pass over unindexed documents.
 
     Only for batches without prefixes. The result is small and used several times, so it is
@@ -140,13 +142,31 @@ def scan_postings(atoms: DataFrame, docs: DataFrame, id_col: str, fields: list[s
 
 
 def match_docs(queries: DataFrame, docs: DataFrame, id_col: str, fields: list[str],
-               collection: str = "documents") -> DataFrame:
+               collection: str | None = "documents") -> DataFrame:
     """Matches of a query batch over documents without an index."""
     atoms = parsed(queries)
     posts, corpus = scan_postings(atoms, docs, id_col, fields, collection)
     return match(atoms, posts, corpus, prefixes=False)
 
 
+def match_collections(queries: DataFrame, tables: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:
+    """Matches of a query batch over several collections, ``name -> (table, id column, text columns)``.
+
+    The collections are laid under each other and searched in one plan; word statistics stay
+    separate per collection. Ids come back as text.
+    """
+    width = max(len(fields) for _, _, fields in tables.values())
+    fields = [f"f{i}" for i in range(width)]
+
+    def shaped(name: str, df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+        texts = [F.col(c).cast("string") for c in columns] + [F.lit(None).cast("string")] * (width - len(columns))
+        return df.select(F.lit(name).alias("collection"), F.col(id_col).cast("string").alias("doc_id"),
+                         *[t.alias(f) for t, f in zip(texts, fields)])
+
+    docs = reduce(DataFrame.unionByName, [shaped(name, *spec) for name, spec in tables.items()])
+    return match_docs(queries, docs, "doc_id", fields, None)
+
+
 def search_docs(queries: DataFrame, docs: DataFrame, id_col: str, fields: list[str], k: int = 20,
                 collection: str = "documents") -> DataFrame:
     """Ranked hits over documents without an index; see :func:`scan_postings`."""
