@@ -148,8 +148,7 @@ def resolve_references(refs: DataFrame, rows: DataFrame, limit: int = 20) -> Dat
     names, then court and day. A reference found nowhere stays as one row with a note; a text
     that is no reference yields nothing.
     """
-    parsed = stage(parse_references(refs, "query").where(is_reference() | (F.length("ref_text") > 3)), "references")
-    cited = parsed.where(is_reference())
+    cited = stage(parse_references(refs, "query"), "references").where(is_reference())
     exact = rows.withColumn("relevance", F.lit(100.0))
 
     tried = stage(_by_number(numbers_of(cited), exact), "number-hits")

@@ -189,7 +189,9 @@ def snippet(text: Column | str, terms: Column, size: int = SNIPPET_TOKENS, mark:
     is_hit = lambda t: F.array_contains(terms, fold(t))
     hit_at = F.filter(F.transform(surface, lambda t, i: F.when(is_hit(t), i)), lambda i: i.isNotNull())
     last_start = F.greatest(n - size, F.lit(0))
-    starts = F.array_union(F.array(F.lit(0)), F.transform(hit_at, lambda i: F.least(i, last_start)))
+    # The number of words in a window grows only where a hit enters at its right edge.
+    starts = F.array_union(F.array(F.lit(0)), F.transform(hit_at, lambda i: F.least(
+        F.greatest(i - (size - 1), F.lit(0)), last_start)))
     distinct_hits = lambda i: F.size(F.array_distinct(F.transform(
         F.filter(F.slice(surface, i + 1, F.lit(size)), is_hit), fold)))
     best = -F.array_max(F.transform(starts, lambda i: F.struct(distinct_hits(i).alias("hits"), (-i).alias("at"))))["at"]

@@ -137,9 +137,8 @@ def phrase(spark: SparkSession, folder: str) -> DataFrame:
 _OCC_SQL = "occ AS (SELECT coll, doc_id, len(w) AS dl, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tok)"
 QUERIES["phrase"] = phrase
 ORACLES["phrase"] = f"""WITH {_DOCS_SQL}, {_BASE_SQL}, {_OCC_SQL},
-hit AS (SELECT a.coll, query_id, 1 AS atom, 1 AS clause, a.doc_id, count(*) AS tf, a.dl FROM bw
-  JOIN occ a ON a.term = w[1] JOIN occ b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 AND b.term = w[2]
-  JOIN occ c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2 AND c.term = w[3] GROUP BY ALL), {_SCORE_SQL},
+tri AS (SELECT coll, doc_id, dl, term || ' ' || lead(term) OVER o || ' ' || lead(term, 2) OVER o AS g FROM occ WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+hit AS (SELECT coll, query_id, 1 AS atom, 1 AS clause, doc_id, count(*) AS tf, dl FROM bw JOIN tri ON g = w[1] || ' ' || w[2] || ' ' || w[3] GROUP BY ALL), {_SCORE_SQL},
 r AS (SELECT *, {_RANK} FROM score)
 SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10"""
 

@@ -44,6 +44,16 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fence(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep the optimizer from copying the expressions behind ``columns`` into later filters.
+
+    Filters are pushed through projections by substitution; over a chain of nested expressions
+    that multiplies the work. A generator in between stops the substitution.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*columns))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out evenly when the input has fewer partitions than the session has cores.
 
