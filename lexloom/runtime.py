@@ -60,6 +60,8 @@ def spread(df: DataFrame) -> DataFrame:
     Meant before heavy per-row text work on a few large files; an input that already has enough
     partitions (any real corpus) is left alone and not shuffled.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

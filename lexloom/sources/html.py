@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import decode_entities, strip_markup
+from lexloom.runtime import spread
 
 
 def html_to_text(df: DataFrame, html_col: str = "html") -> DataFrame:
     """Add ``title`` and plain ``text`` of a page; the title is not part of the text."""
     title = F.regexp_extract(html_col, r"(?is)<title[^>]*>(.*?)</title>", 1)
     body = F.regexp_replace(html_col, r"(?is)<title[^>]*>.*?</title>", " ")
-    return df.withColumn("title", strip_markup(title)).withColumn("text", strip_markup(body))
+    return spread(df).withColumn("title", strip_markup(title)).withColumn("text", strip_markup(body))
 
 
 def joined_lines(col: Column) -> Column:
