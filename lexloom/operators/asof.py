@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexloom import dims
 from lexloom.functions.identifiers import source_url
 from lexloom.functions.text import norm_article
+from lexloom.operators.windows import number_rows
 from lexloom.runtime import blank_to_null
 
 _OPEN_START = "0001-01-01"
@@ -151,11 +152,17 @@ def law_at_date(refs: DataFrame, versions: DataFrame, payload: list[str] | None
 
 
 def law_versions(refs: DataFrame, versions: DataFrame, codes: DataFrame | None = None) -> DataFrame:
-    """Every version of each asked article with its position in time (``version_no`` from 1)."""
-    order = W.partitionBy(*KEY).orderBy(F.col("date_debut").asc_nulls_first(), "legiarti")
-    numbered = _typed(versions).withColumn("version_no", F.row_number().over(order))
+    """Every version of each asked article with its position in time (``version_no`` from 1).
+
+    Versions are numbered in one global order and counted from the first of their article, so an
+    article with very many versions is not handled by one task.
+    """
+    numbered = number_rows(_typed(versions), *KEY, F.col("date_debut").asc_nulls_first(), "legiarti")
+    first = numbered.groupBy(*KEY).agg(F.min("position").alias("_first"))
+    placed = numbered.join(first, KEY).withColumn("version_no", F.col("position") - F.col("_first") + 1).drop(
+        "position", "_first")
     asked = resolve_code(refs, codes=codes).withColumn("num", norm_article("num"))
-    return asked.join(numbered, KEY)
+    return asked.join(placed, KEY)
 
 
 def resolve_law_number(refs: DataFrame, versions: DataFrame) -> DataFrame:

@@ -57,30 +57,31 @@ def dedup_contacts(df: DataFrame, ord_col: str, org_col: str = "organisme", addr
         F.min_by(F.struct(*df.columns), F.col(ord_col)).alias("_r")).select("_r.*")
 
 
-def enumerate_pages(df: DataFrame, id_col: str, date_col: str | None = None,
-                    page_size: int = dims.ENUMERATION_PAGE, extra: list[str] | None = None) -> DataFrame:
-    """Number all rows in one global order and cut them into pages.
+def number_rows(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Add ``position`` (from 0) in one global order that must end with a unique key.
 
-    Newest first with the id as tie-break (or by id alone). The narrow sort keys are range
-    partitioned and written once with a per-partition sequence number; the first number of each
-    partition comes from the partition sizes, so no task ever sees more than its own range.
+    Rows are range partitioned and written once with a per-partition sequence number; the first
+    number of each partition comes from the partition sizes, so no task ever sees more than its
+    own range. Meant for narrow rows.
     """
-    order = ([date_order(date_col)] if date_col else []) + [F.col(id_col)]
-    columns = [id_col, *([date_col] if date_col else []), *(extra or [])]
-    seq = F.monotonically_increasing_id()
-    ordered = stage(df.select(*columns).orderBy(*order).withColumn("_seq", seq), "enumeration")
+    columns = df.columns
+    ordered = stage(df.orderBy(*order).withColumn("_seq", F.monotonically_increasing_id()), "numbered")
     part, within = F.shiftright("_seq", 33), F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # One row per range partition: the only window over everything runs on this tiny table.
     before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
-    return (
-        ordered.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn("position", F.col("_start") + within)
-        .withColumn("page", F.floor(F.col("position") / page_size))
-        .select(*columns, "position", "page")
-    )
+    return ordered.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(
+        "position", F.col("_start") + within).select(*columns, "position")
+
+
+def enumerate_pages(df: DataFrame, id_col: str, date_col: str | None = None,
+                    page_size: int = dims.ENUMERATION_PAGE, extra: list[str] | None = None) -> DataFrame:
+    """Number all rows, newest first with the id as tie-break (or by id alone), and cut them into pages."""
+    order = ([date_order(date_col)] if date_col else []) + [F.col(id_col)]
+    columns = [id_col, *([date_col] if date_col else []), *(extra or [])]
+    return number_rows(df.select(*columns), *order).withColumn("page", F.floor(F.col("position") / page_size)).select(
+        *columns, "position", "page")
 
 
 def retain_latest(df: DataFrame, bucket_col: str, n: int) -> DataFrame:

@@ -107,19 +107,28 @@ def _by_party(parsed: DataFrame, rows: DataFrame) -> DataFrame:
     return hits.select("ref_id", F.lit(0).alias("num_no"), "step", *rows.columns)
 
 
+def _court_types(rows: DataFrame) -> Column:
+    """Court types a row can stand for: right source and the signature in its court name."""
+    court = fold(F.coalesce("juridiction", F.lit("")))
+    return F.filter(F.array(*[
+        F.when(F.col("source").isin(sources) & court.contains(dims.COURT_SIGNATURES[kind]), kind)
+        for kind, sources in dims.COURT_SOURCES.items()]), lambda k: k.isNotNull())
+
+
 def _by_day(parsed: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
-    """Court and day: same date, right kind of court, right city. Equal questions are asked once."""
+    """Court and day: same date, right kind of court, right city.
+
+    Equal questions are asked once, and rows meet them by date and kind of court; only the city
+    is compared as text.
+    """
     asked = parsed.where((F.col("juri_type") != "") & F.col("ref_date").isNotNull()).select(
-        "ref_id", "ref_date", "juri_type", fold("juri_ville").alias("_city"))
-    questions = asked.select(F.col("ref_date").alias("date"), "juri_type", "_city").distinct().withColumn(
-        "_sig", _signature(F.col("juri_type"))).withColumn(
-        "_sources", _list_lookup(dims.COURT_SOURCES, F.col("juri_type")))
-    court = fold(F.coalesce("juridiction", F.lit("")))
-    hits = questions.join(rows, "date").where(
-        F.array_contains("_sources", F.col("source")) & court.contains(F.col("_sig")) & court.contains(F.col("_city")))
+        "ref_id", F.col("ref_date").alias("date"), "juri_type", fold("juri_ville").alias("_city"))
+    questions = asked.select("date", "juri_type", "_city").distinct()
+    typed = rows.where(F.col("date").isNotNull()).select("*", F.explode(_court_types(rows)).alias("juri_type"))
+    hits = questions.join(typed, ["date", "juri_type"]).where(fold("juridiction").contains(F.col("_city")))
     best = keep_best(hits, ["date", "juri_type", "_city"],
                      F.when(F.col("source") == "dila", 0).otherwise(1), F.col("id"), k=limit)
-    return asked.withColumnRenamed("ref_date", "date").join(best.drop("_sig", "_sources"), ["date", "juri_type", "_city"]).select(
+    return asked.join(best, ["date", "juri_type", "_city"]).select(
         "ref_id", F.lit(0).alias("num_no"), F.lit(8).alias("step"), *rows.columns)
 
 

@@ -11,12 +11,14 @@ from lexloom.functions.queries import queries_to_clauses
 from lexloom.functions.text import fold
 from lexloom.operators.windows import keep_best
 from lexloom.plans.index import marked_stats, query_postings
-from lexloom.runtime import stage
+from lexloom.runtime import collect_bounded, stage
 
 # Okapi BM25 parameters (Robertson & Zaragoza).
 K1 = 1.2
 B = 0.75
 SNIPPET_TOKENS = 28
+# Up to this many query words are pushed to the index scan as literals.
+PRUNING_TERMS = 500
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -73,14 +75,24 @@ def _phrase_count() -> Column:
                               lambda acc, s: F.array_intersect(acc, starts_of(s))))
 
 
-def atom_matches(atoms: DataFrame, posts: DataFrame, prefixes: bool = True) -> DataFrame:
+def atom_matches(atoms: DataFrame, posts: DataFrame, prefixes: bool | None = None,
+                 vocabulary: DataFrame | None = None) -> DataFrame:
     """One row per query atom and document: how often the atom occurs there.
 
     Words of a query meet the postings by equality. Everything about one document of one query
     then lands in one partition, and all later per-document steps reuse that partitioning.
+    The vocabulary (by default the distinct words of the postings) is read only when the batch
+    has prefixes; without any, few words become a literal filter that prunes the scan.
     """
-    vocabulary = posts.select("term").distinct() if prefixes else None
-    slots = _slots(atoms, vocabulary)
+    if prefixes is None:
+        prefixes = not atoms.where("is_prefix").isEmpty()
+    if prefixes:
+        slots = _slots(atoms, vocabulary if vocabulary is not None else posts.select("term"))
+    else:
+        slots = _slots(atoms, None)
+        listed = collect_bounded(query_terms(atoms), "term", PRUNING_TERMS)
+        if listed is not None:
+            posts = posts.where(F.col("term").isin(listed))
     starts = F.transform("positions", lambda p: p - F.col("slot"))
     hits = posts.join(slots, "term").select(
         "collection", "query_id", "doc_id", "atom_id", "clause_id", "op", "required", "n_slots", "doc_len", "tf",
@@ -92,13 +104,14 @@ def atom_matches(atoms: DataFrame, posts: DataFrame, prefixes: bool = True) -> D
     return grouped.withColumn("tf", tf).where(F.col("tf") > 0).drop("parts", "sum_tf", "n_slots")
 
 
-def match(atoms: DataFrame, posts: DataFrame, corpus: DataFrame, prefixes: bool = True) -> DataFrame:
+def match(atoms: DataFrame, posts: DataFrame, corpus: DataFrame, prefixes: bool | None = None,
+          vocabulary: DataFrame | None = None) -> DataFrame:
     """Every document that satisfies a query: ``collection, query_id, doc_id, score``.
 
     All must-clauses hold (any atom of a clause suffices), no excluded atom occurs; a query of
     exclusions only matches nothing. Scores are rounded so that equal documents tie exactly.
     """
-    per_atom = atom_matches(atoms, posts, prefixes)
+    per_atom = atom_matches(atoms, posts, prefixes, vocabulary)
     frequency = per_atom.where("op = 'must'").groupBy("collection", "query_id", "atom_id").agg(
         F.count("*").alias("df"))
     weights = frequency.join(F.broadcast(corpus), "collection").select(
@@ -124,10 +137,11 @@ def totals(matches: DataFrame) -> DataFrame:
     return matches.groupBy("collection", "query_id").agg(F.count("*").alias("total"))
 
 
-def search(queries: DataFrame, posts: DataFrame, corpus: DataFrame, k: int = 20, prefixes: bool = True) -> DataFrame:
-    """Ranked hits of ``query_id, query`` rows over index tables."""
+def search(queries: DataFrame, posts: DataFrame, corpus: DataFrame, k: int = 20,
+           vocabulary: DataFrame | None = None) -> DataFrame:
+    """Ranked hits of ``query_id, query`` rows over index tables; ``vocabulary`` may be a stored term table."""
     atoms = parsed(queries)
-    return top_k(match(atoms, posts, corpus, prefixes), k)
+    return top_k(match(atoms, posts, corpus, vocabulary=vocabulary), k)
 
 
 def scan_postings(atoms: DataFrame, docs: DataFrame, id_col: str, fields: list[str],
