@@ -63,7 +63,7 @@ def _slots(atoms: DataFrame, vocabulary: DataFrame | None) -> DataFrame:
     if vocabulary is not None:
         exact = exact.unionByName(expand_prefixes(atoms, vocabulary))
     required = atoms.where("op = 'must'").groupBy("query_id").agg(F.count_distinct("clause_id").alias("required"))
-    meta = atoms.select("query_id", "atom_id", "clause_id", "op", F.size("terms").alias("n_slots")).join(
+    meta = atoms.select("query_id", "atom_id", "clause_id", "op", "is_prefix", F.size("terms").alias("n_slots")).join(
         required, "query_id")
     return exact.join(meta, ["query_id", "atom_id"])
 
@@ -79,29 +79,31 @@ def atom_matches(atoms: DataFrame, posts: DataFrame, prefixes: bool | None = Non
                  vocabulary: DataFrame | None = None) -> DataFrame:
     """One row per query atom and document: how often the atom occurs there.
 
-    Words of a query meet the postings by equality. Everything about one document of one query
-    then lands in one partition, and all later per-document steps reuse that partitioning.
-    The vocabulary (by default the distinct words of the postings) is read only when the batch
-    has prefixes; without any, few words become a literal filter that prunes the scan.
+    Words of a query meet the postings by equality; only phrases and prefixes need grouping. The vocabulary (by default the distinct words of the postings) is read only when the batch
+    has prefixes; without any, few words become a literal filter that prunes the scan. Callers
+    whose postings are restricted to the batch already say so by ``prefixes=False``.
     """
-    if prefixes is None:
+    stored_index = prefixes is None
+    if stored_index:
         prefixes = not atoms.where("is_prefix").isEmpty()
     if prefixes:
         slots = _slots(atoms, vocabulary if vocabulary is not None else posts.select("term"))
     else:
         slots = _slots(atoms, None)
-        listed = collect_bounded(query_terms(atoms), "term", PRUNING_TERMS)
+        listed = collect_bounded(query_terms(atoms), "term", PRUNING_TERMS) if stored_index else None
         if listed is not None:
             posts = posts.where(F.col("term").isin(listed))
     starts = F.transform("positions", lambda p: p - F.col("slot"))
-    hits = posts.join(slots, "term").select(
-        "collection", "query_id", "doc_id", "atom_id", "clause_id", "op", "required", "n_slots", "doc_len", "tf",
-        F.when(F.col("n_slots") > 1, F.struct("slot", starts.alias("starts"))).alias("part"))
-    grouped = hits.repartition("query_id", "doc_id").groupBy(
-        "collection", "query_id", "doc_id", "atom_id", "clause_id", "op", "required", "n_slots").agg(
-        F.sum("tf").alias("sum_tf"), F.first("doc_len").alias("doc_len"), F.collect_list("part").alias("parts"))
+    shared = ["collection", "query_id", "doc_id", "atom_id", "clause_id", "op", "required", "doc_len"]
+    hits = posts.join(slots, "term")
+    plain = (F.col("n_slots") == 1) & ~F.col("is_prefix")
+    # A single exact word has one posting per document: nothing to combine.
+    single = hits.where(plain).select(*shared, F.col("tf").cast("long").alias("tf"))
+    parts = hits.where(~plain).select(
+        *shared, "n_slots", "tf", F.when(F.col("n_slots") > 1, F.struct("slot", starts.alias("starts"))).alias("part"))
+    combined = parts.groupBy(*shared, "n_slots").agg(F.sum("tf").alias("sum_tf"), F.collect_list("part").alias("parts"))
     tf = F.when(F.col("n_slots") > 1, _phrase_count()).otherwise(F.col("sum_tf"))
-    return grouped.withColumn("tf", tf).where(F.col("tf") > 0).drop("parts", "sum_tf", "n_slots")
+    return single.unionByName(combined.withColumn("tf", tf.cast("long")).where(F.col("tf") > 0).select(*single.columns))
 
 
 def match(atoms: DataFrame, posts: DataFrame, corpus: DataFrame, prefixes: bool | None = None,
@@ -119,10 +121,13 @@ def match(atoms: DataFrame, posts: DataFrame, corpus: DataFrame, prefixes: bool
     scored = per_atom.join(weights, ["collection", "query_id", "atom_id"], "left")
     part = F.coalesce(F.col("idf") * bm25(F.col("tf"), F.col("doc_len"), F.col("avg_len")), F.lit(0.0))
     key = ["collection", "query_id", "doc_id"]
-    per_doc = scored.groupBy(*key).agg(
-        F.sum(part).alias("score"), F.max("required").alias("required"),
-        F.size(F.collect_set(F.when(F.col("op") == "must", F.col("clause_id")))).alias("held"),
-        F.max(F.when(F.col("op") == "not", 1).otherwise(0)).alias("excluded"))
+    # One exchange by query and document serves both steps below.
+    per_clause = scored.select(*key, "clause_id", "op", "required", part.alias("part")).repartition(
+        "query_id", "doc_id").groupBy(*key, "clause_id", "op").agg(
+        F.sum("part").alias("score"), F.max("required").alias("required"))
+    per_doc = per_clause.groupBy(*key).agg(
+        F.sum("score").alias("score"), F.max("required").alias("required"),
+        F.count_if(F.col("op") == "must").alias("held"), F.count_if(F.col("op") == "not").alias("excluded"))
     return per_doc.where("held = required and excluded = 0").select(*key, F.round("score", 6).alias("score"))
 
 
