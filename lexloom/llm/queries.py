@@ -33,4 +33,11 @@ def op4_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_byte_shards, op4_fair_mix)}
+def op8_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from lexloom.llm.packing import pack_documents
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_byte_shards, op4_fair_mix, op8_bin_slack_packing)}
