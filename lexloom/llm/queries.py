@@ -33,6 +33,11 @@ def op4_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
 
 
+def op6_recompressed_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    from lexloom.llm.recompress import remove_repeats
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 def op7_bbit_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from lexloom.llm.neardup import near_duplicates
     return near_duplicates(table(spark, folder, "documents"), words_per_shingle=3, percent=85)
@@ -45,4 +50,4 @@ def op8_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_byte_shards, op4_fair_mix, op7_bbit_near_duplicates, op8_bin_slack_packing)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_byte_shards, op4_fair_mix, op6_recompressed_repeats, op7_bbit_near_duplicates, op8_bin_slack_packing)}
