@@ -33,6 +33,12 @@ def op4_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
 
 
+def op5_attention_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from lexloom.llm.quality import fit, score_documents
+    docs = table(spark, folder, "documents")
+    return score_documents(docs, fit(docs, table(spark, folder, "labels")))
+
+
 def op6_recompressed_repeats(spark: SparkSession, folder: str) -> DataFrame:
     from lexloom.llm.recompress import remove_repeats
     return remove_repeats(table(spark, folder, "documents"))
@@ -50,4 +56,10 @@ def op8_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_byte_shards, op4_fair_mix, op6_recompressed_repeats, op7_bbit_near_duplicates, op8_bin_slack_packing)}
+def op10_centroid_language(spark: SparkSession, folder: str) -> DataFrame:
+    from lexloom.llm.langid import fit, identify
+    docs = table(spark, folder, "documents")
+    return identify(docs, fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_byte_shards, op4_fair_mix, op5_attention_quality, op6_recompressed_repeats, op7_bbit_near_duplicates, op8_bin_slack_packing, op10_centroid_language)}
