@@ -28,6 +28,11 @@ def op2_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
+    from lexloom.llm.pivots import search_top
+    return search_top(table(spark, folder, "embeddings"))
+
+
 def op4_fair_mix(spark: SparkSession, folder: str) -> DataFrame:
     from lexloom.llm.mixing import mix
     return mix(table(spark, folder, "documents"))
@@ -56,10 +61,15 @@ def op8_bin_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_one_permutation_prints(spark: SparkSession, folder: str) -> DataFrame:
+    from lexloom.llm.fingerprints import fingerprint_documents
+    return fingerprint_documents(table(spark, folder, "documents"))
+
+
 def op10_centroid_language(spark: SparkSession, folder: str) -> DataFrame:
     from lexloom.llm.langid import fit, identify
     docs = table(spark, folder, "documents")
     return identify(docs, fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_byte_shards, op4_fair_mix, op5_attention_quality, op6_recompressed_repeats, op7_bbit_near_duplicates, op8_bin_slack_packing, op10_centroid_language)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_byte_shards, op3_pivot_search, op4_fair_mix, op5_attention_quality, op6_recompressed_repeats, op7_bbit_near_duplicates, op8_bin_slack_packing, op9_one_permutation_prints, op10_centroid_language)}

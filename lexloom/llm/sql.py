@@ -53,4 +53,13 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BI
 LEFT JOIN (SELECT doc_id, sum(size) AS taken FROM kept GROUP BY doc_id) USING (doc_id)
 """
 
-ORACLES = {"op1_url_reputation": OP1, "op4_fair_mix": OP4}
+OP3 = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES = {"op1_url_reputation": OP1, "op3_pivot_search": OP3, "op4_fair_mix": OP4}
