@@ -32,9 +32,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that an earlier document has are removed; a document may end up empty, but stays."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = remove_repeats(docs, with_text=True, others=others)
-    if "n_chars" in others:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    own = {c: F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns}
+    if "n_chars" in own:
+        changed = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("others.n_chars"))
+        own["n_chars"] = changed.cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return cut.select(*own.values())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

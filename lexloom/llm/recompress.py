@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexloom.llm.words import Words, join_names, mix64, owners, split_words, text_bytes
 
@@ -223,7 +225,7 @@ def _answer_windows(table: pa.Table) -> pa.Table:
     return _as_table(rows)
 
 
-def _cut(with_text: bool, others: Sequence[str], schema: pa.Schema) -> Callable:
+def _cut(with_text: bool, schema: pa.Schema) -> Callable:
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
@@ -250,8 +252,8 @@ def _cut(with_text: bool, others: Sequence[str], schema: pa.Schema) -> Callable:
                 kept.append(_segments(raw, words, removed, low, high) if gone[i] else text)
         columns = {"doc_id": table.column("doc_id"), "n_words": pa.array(counts), "n_removed": pa.array(gone), "kept_sha256": pa.array(digests)}
         if with_text:
-            columns["text"] = pa.array(kept, pa.binary()).cast(pa.string())
-            columns["text"] = pa.array([None if gone == 0 and x is None else y for gone, x, y in zip(gone.tolist(), table.column("text").to_pylist(), columns["text"].to_pylist())], pa.string())
+            texts = [x.decode() for x in kept]
+            columns["text"] = pa.array([y if there else None for y, there in zip(texts, table.column("text").is_valid().to_pylist())], pa.string())
         return pa.table([columns[f.name] if f.name in columns else table.column(f.name) for f in schema], schema=schema)
 
     return cut
@@ -269,8 +271,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Remove every word covered by a 13-word window that also starts in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed and kept_sha256 (of the words that stay, joined by one
-    space), with ``with_text`` the text that is left, and the columns named in ``others``. Windows
-    are judged on the input. Documents are dealt to groups of about ``group_bytes`` text by a hash
+    space), with ``with_text`` the text that is left, and the columns named in ``others`` as one
+    struct of that name. Windows are judged on the input. Documents are dealt to groups of about ``group_bytes`` text by a hash
     of their id; a group tells each of its distinct representatives once, however many of its
     documents have it, so a passage that a third of all documents share is told once a group. An
     answer is one bit for each name asked. All three passes read one shuffle of the texts.
@@ -283,16 +285,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = max(1, -(-size // group_bytes))
     buckets = max(1, min(groups, group_bytes // BUCKET_BYTES))
     spread = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
-    dealt = docs.select(F.pmod(spread, F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *others)
-    shape = dealt.select("doc_id", *([] if not with_text else ["text"]), *others).schema
-    out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else "") + "".join(
-        f", `{f.name}` {f.dataType.simpleString()}" for f in shape if f.name in others)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(out))
+    dealt = docs.select(F.pmod(spread, F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                        *([F.struct(*[F.col(c) for c in others]).alias("others")] if others else []))
+    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+                        T.StructField("kept_sha256", T.StringType()), *([T.StructField("text", T.StringType())] if with_text else []),
+                        *([dealt.schema["others"]] if others else [])])
+    schema = to_arrow_schema(out)
     asked = dealt.groupBy("g").applyInArrow(_ask_shapes(buckets), MESSAGE)
     told = asked.groupBy("bucket").applyInArrow(_answer_shapes, MESSAGE)
     asked = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_ask_windows(buckets), MESSAGE)
     told = asked.groupBy("bucket").applyInArrow(_answer_windows, MESSAGE)
-    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_cut(with_text, others, schema), out)
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_cut(with_text, schema), out)
