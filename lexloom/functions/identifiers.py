@@ -79,13 +79,12 @@ def extract_rg(col: Column | str) -> Column:
     return F.coalesce(*[hit(p) for p in ROLL_NUMBERS])
 
 
-def extract_appno(col: Column | str, head: int = 3000) -> Column:
-    """Application number announced in the heading (first ``head`` characters) of a decision.
-
-    The number always stands in the heading; later mentions refer to other cases.
-    """
-    heading = F.substring(_c(col), 1, head)
-    return F.coalesce(*[blank_to_null(F.regexp_extract(heading, p, 1)) for p in APPLICATION_NUMBERS])
+def extract_appno(col: Column | str) -> Column:
+    """Application number announced first in the text of a decision; later ones refer to other cases."""
+    found = F.array(*[F.struct(F.regexp_instr(_c(col), F.lit(p)).alias("at"), F.regexp_extract(_c(col), p, 1).alias("number"))
+                      for p in APPLICATION_NUMBERS])
+    # The leftmost announcement counts, in whatever wording.
+    return F.get(F.array_sort(F.filter(found, lambda f: (f["at"] > 0) & (F.trim(f["number"]) != ""))), F.lit(0))["number"]
 
 
 def appno_from_ecli(col: Column | str) -> Column:

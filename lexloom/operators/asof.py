@@ -127,8 +127,10 @@ def law_batch(refs: DataFrame, versions: DataFrame, payload: list[str] | None =
                                *payload)
         body = body.withColumn("_start", F.coalesce(blank_to_null("_start"), F.lit("")))
         out = out.withColumn("_start", F.coalesce(F.col("date_debut").cast("string"), F.lit("")))
-        out = out.join(body.dropDuplicates([*KEY, "legiarti", "_start"]), [*KEY, "legiarti", "_start"],
-                       "left").drop("_start")
+        # Of repeated versions the greatest text counts.
+        key = [*KEY, "legiarti", "_start"]
+        body = body.groupBy(*key).agg(F.max(F.struct(*payload)).alias("_body")).select(*key, "_body.*")
+        out = out.join(body, key, "left").drop("_start")
     found = F.col("tier").isNotNull()
     url_date = F.when(F.col("tier") == 1, F.coalesce(F.col("date").cast("date"), F.col("date_debut"))).otherwise(
         F.col("date_debut"))

@@ -158,7 +158,7 @@ def date_range(df: DataFrame, col: str, lo: str | None = None, hi: str | None =
 
 def date_slice(df: DataFrame, date_col: str, id_col: str, lo: str | None, hi: str | None,
                court_fragments: list[str] | None = None, court_col: str = "juridiction", limit: int = 500) -> DataFrame:
-    """Newest rows of a date range, optionally of some courts; no text query involved."""
+    """The ``limit`` newest rows of a date range, optionally of some courts; no text query involved."""
     out = date_range(df, date_col, lo, hi, blanks="drop")
     if court_fragments:
         name = fold(court_col)
@@ -166,7 +166,7 @@ def date_slice(df: DataFrame, date_col: str, id_col: str, lo: str | None, hi: st
         for fragment in court_fragments:
             wanted = wanted | name.contains(fragment.lower())
         out = out.where(wanted)
-    return out.orderBy(F.col(date_col).desc_nulls_last(), id_col).limit(max(1, min(limit, 500)))
+    return out.orderBy(F.col(date_col).desc_nulls_last(), id_col).limit(limit)
 
 
 def court_family(df: DataFrame, family: str, court_col: str = "juridiction") -> DataFrame:

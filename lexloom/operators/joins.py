@@ -12,7 +12,7 @@ from lexloom.runtime import blank_to_null, map_lookup
 
 def backfill_title(children: DataFrame, parents: DataFrame, key: str, child_title: str, parent_title: str) -> DataFrame:
     """Fill blank titles from the parent row."""
-    names = parents.select(F.col(key), F.col(parent_title).alias("_title")).dropDuplicates([key])
+    names = parents.groupBy(key).agg(F.min(blank_to_null(parent_title)).alias("_title"))
     return children.join(names, key, "left").withColumn(
         child_title, F.coalesce(blank_to_null(child_title), F.col("_title"))).drop("_title")
 
@@ -41,7 +41,7 @@ def rename_locations(df: DataFrame, renames: DataFrame, name_col: str = "juridic
 
     ``renames``: ``old_name, new_name``.
     """
-    dim = renames.select(F.col("old_name").alias("_old"), F.col("new_name").alias("_new")).dropDuplicates(["_old"])
+    dim = renames.groupBy(F.col("old_name").alias("_old")).agg(F.min("new_name").alias("_new"))
     known = F.col("_new").isNotNull()
     return (
         df.join(dim, F.col(name_col) == F.col("_old"), "left")
@@ -75,20 +75,27 @@ def split_known(patch: DataFrame, target: DataFrame, id_col: str = "id") -> tupl
 
 
 def patch_text(target: DataFrame, patch: DataFrame, id_col: str = "id", text_col: str = "text",
-               min_len: int = 200) -> DataFrame:
-    """Overwrite a text only where it is blank, short or one single line."""
-    new = patch.select(F.col(id_col), F.col(text_col).alias("_new")).dropDuplicates([id_col])
+               min_len: int = 200, order: str | None = None) -> DataFrame:
+    """Overwrite a text only where it is blank, short or one single line.
+
+    Of several patches of an id the last by ``order`` counts, without it the greatest text.
+    """
+    new = patch.groupBy(id_col).agg(F.max_by(text_col, order if order else text_col).alias("_new"))
     old = F.coalesce(F.col(text_col), F.lit(""))
     defect = (F.length(old) < min_len) | (F.instr(old, "\n") == 0)
     return target.join(new, id_col, "left").withColumn(
         text_col, F.when(F.col("_new").isNotNull() & defect, F.col("_new")).otherwise(F.col(text_col))).drop("_new")
 
 
-def patch_columns(target: DataFrame, patch: DataFrame, id_col: str = "id") -> DataFrame:
-    """Overwrite the columns the patch brings, for the ids it lists; unknown columns are ignored."""
+def patch_columns(target: DataFrame, patch: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
+    """Overwrite the columns the patch brings, for the ids it lists; unknown columns are ignored.
+
+    Of several patches of an id the last by ``order`` counts, without it the greatest row.
+    """
     shared = [c for c in patch.columns if c in target.columns and c != id_col]
-    new = patch.select(F.col(id_col), F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in shared])
-    out = target.join(new.dropDuplicates([id_col]), id_col, "left")
+    values = F.struct(*[F.col(c).alias(f"_new_{c}") for c in shared], F.lit(True).alias("_hit"))
+    last = F.max_by(values, order) if order else F.max(values)
+    out = target.join(patch.groupBy(id_col).agg(last.alias("_v")).select(id_col, "_v.*"), id_col, "left")
     return out.select(*[
         (F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in shared else F.col(c))
         for c in target.columns])

@@ -43,9 +43,17 @@ def upsert(target: DataFrame, changes: DataFrame, key: str | list[str], seq: str
 insert_replace = upsert
 
 
-def append_versions(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Statute versions are unique on (article id, start date); repeats are ignored."""
-    return insert_ignore(target, batch, ["legiarti", "date_debut"], ["legiarti", "date_debut"])
+def append_versions(target: DataFrame, batch: DataFrame, order: str | list[str] | None = None) -> DataFrame:
+    """Statute versions are unique on (article id, start date); repeats are ignored.
+
+    An open start (NULL) is a start like any other. The first row of a version by ``order`` wins,
+    without it the least row.
+    """
+    start = F.coalesce(F.col("date_debut").cast("string"), F.lit(""))
+    key = ["legiarti", "_start"]
+    fresh = first(batch.withColumn("_start", start), key, order or batch.columns)
+    fresh = fresh.join(target.select("legiarti", start.alias("_start")), key, "left_anti")
+    return align_schema(target, fresh.select(*batch.columns))
 
 
 def apply_changes(target: DataFrame, log: DataFrame, key: str | list[str], seq: str | list[str],

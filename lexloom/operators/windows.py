@@ -118,8 +118,10 @@ def hit_order(mode: str, date_col: str = "date", score_col: str = "relevance") -
 
 
 def page(df: DataFrame, limit: int, offset: int = 0, max_limit: int = 100, max_offset: int = 10_000) -> DataFrame:
-    """One page of a sorted result with the usual clamps."""
-    return df.offset(max(0, min(offset, max_offset))).limit(max(1, min(limit, max_limit)))
+    """One page of a sorted result; a page beyond the bounds is refused, not cut."""
+    if not 1 <= limit <= max_limit or not 0 <= offset <= max_offset:
+        raise ValueError(f"a page has 1 to {max_limit} rows and starts at 0 to {max_offset}")
+    return df.offset(offset).limit(limit)
 
 
 def page_hits(ranked: DataFrame, limit: int, offset: int = 0, rank_col: str = "rank") -> DataFrame:

@@ -115,20 +115,18 @@ def _court_types(rows: DataFrame) -> Column:
         for kind, sources in dims.COURT_SOURCES.items()]), lambda k: k.isNotNull())
 
 
-def _by_day(parsed: DataFrame, rows: DataFrame, limit: int) -> DataFrame:
+def _by_day(parsed: DataFrame, rows: DataFrame) -> DataFrame:
     """Court and day: same date, right kind of court, right city.
 
     Equal questions are asked once, and rows meet them by date and kind of court; only the city
-    is compared as text.
+    is compared as text. All decisions of that court and day go on to the ranking by name.
     """
     asked = parsed.where((F.col("juri_type") != "") & F.col("ref_date").isNotNull()).select(
         "ref_id", F.col("ref_date").alias("date"), "juri_type", fold("juri_ville").alias("_city"))
     questions = asked.select("date", "juri_type", "_city").distinct()
     typed = rows.where(F.col("date").isNotNull()).select("*", F.explode(_court_types(rows)).alias("juri_type"))
     hits = questions.join(typed, ["date", "juri_type"]).where(fold("juridiction").contains(F.col("_city")))
-    best = keep_best(hits, ["date", "juri_type", "_city"],
-                     F.when(F.col("source") == "dila", 0).otherwise(1), F.col("id"), k=limit)
-    return asked.join(best, ["date", "juri_type", "_city"]).select(
+    return asked.join(hits, ["date", "juri_type", "_city"]).select(
         "ref_id", F.lit(0).alias("num_no"), F.lit(8).alias("step"), *rows.columns)
 
 
@@ -170,7 +168,7 @@ def resolve_references(refs: DataFrame, rows: DataFrame, limit: int = 20) -> Dat
     by_party = parties.join(best_party, ["ref_id", "step"], "left_semi")
 
     left = left.join(best_party.select("ref_id"), "ref_id", "left_anti")
-    by_day = _by_day(left, exact, limit)
+    by_day = _by_day(left, exact)
     hits = rescore(reduce(DataFrame.unionByName, [by_number, by_party, by_day]), cited, limit)
 
     listed = F.transform("numeros", lambda n: F.concat(F.lit("n° "), n["value"]))

@@ -17,12 +17,13 @@ from lexloom.runtime import blank_to_null
 from lexloom.schemas import COLLECTION_COLUMNS, TEXT_COLUMNS
 
 
-def collection_matches(queries: DataFrame, df: DataFrame, collection: str, keep: Column | None = None) -> DataFrame:
+def collection_matches(queries: DataFrame, df: DataFrame, collection: str, keep: Column | None = None,
+                       id_col: str | None = None) -> DataFrame:
     """All documents of a collection that satisfy a query, with their columns and score.
 
     Filters apply after matching, so that word statistics always describe the whole collection.
     """
-    id_col = COLLECTION_COLUMNS[collection]["id"]
+    id_col = id_col or COLLECTION_COLUMNS[collection]["id"]
     fields = [c for c in TEXT_COLUMNS[collection] if c in df.columns]
     hits = match_docs(queries, df, id_col, fields, collection).select("query_id", F.col("doc_id").alias(id_col), "score")
     rows = df if keep is None else df.where(keep)
@@ -66,8 +67,11 @@ def search_statutes(queries: DataFrame, versions: DataFrame, k: int = 20, legite
                     sort: str = "relevance", date_min: str | None = None, date_max: str | None = None) -> DataFrame:
     """Statute articles, the best one per parent text; deduplicated before the limit, so it is exact."""
     keep = _both(F.col("legitext") == legitext if legitext else None, between("statute_version", date_min, date_max))
-    hits = collection_matches(queries, versions.dropDuplicates(["legiarti"]), "statute_version", keep)
-    return ranked(dedup_by_parent(hits, "legitext", "legiarti"), "statute_version", k, sort)
+    # Every version is a document of its own; of an article the best version counts, the newer one in a tie.
+    version = F.concat_ws("\u0001", "legiarti", F.coalesce(F.col("date_debut").cast("string"), F.lit("")))
+    hits = collection_matches(queries, versions.withColumn("_version", version), "statute_version", keep, "_version")
+    best = keep_best(hits, ["query_id", "legiarti"], F.desc("score"), F.col("date_debut").desc_nulls_last())
+    return ranked(dedup_by_parent(best.drop("_version"), "legitext", "legiarti"), "statute_version", k, sort)
 
 
 def search_gazette(queries: DataFrame, df: DataFrame, k: int = 20, nature: str | None = None, **opts) -> DataFrame:
@@ -147,7 +151,7 @@ def search_admin(queries: DataFrame, df: DataFrame, k: int = 20, juridiction: st
     court = F.lit(juridiction).cast("string")
     asked = queries.withColumn("numero", admin_docket("query"))
     direct = by_docket(df, asked.where(F.col("numero").isNotNull()).select(
-        F.col("query_id").alias("ref_id"), "numero", court.alias("juridiction"))).withColumnRenamed("ref_id", "query_id")
+        F.col("query_id").alias("ref_id"), "numero", court.alias("juridiction")), k).withColumnRenamed("ref_id", "query_id")
     direct = direct.withColumn("score", F.lit(None).cast("double"))
     rest = queries.join(direct.select("query_id").distinct(), "query_id", "left_anti")
     keep = court_matches(F.col("juridiction"), court) if juridiction else None

@@ -35,7 +35,8 @@ def search_all(queries: DataFrame, tables: dict[str, tuple[DataFrame, str, list[
     """Unified search of ``query_id, query[, expanded]`` over ``source -> (table, id column, text columns)``.
 
     Both forms of a query run in the same plan; the plain one counts only where the expanded
-    one finds nothing anywhere.
+    one finds nothing anywhere. ``rank`` is the place inside the source; :func:`merge_sources` makes
+    one list of it.
     """
     expanded = F.col("expanded") if "expanded" in queries.columns else F.lit(None).cast("string")
     both = queries.select(F.struct("query_id", F.lit(0).alias("variant")).alias("query_id"),
@@ -55,6 +56,15 @@ def search_all(queries: DataFrame, tables: dict[str, tuple[DataFrame, str, list[
     return choose_variant(flat)
 
 
+def merge_sources(found: DataFrame, limit: int = 20) -> DataFrame:
+    """The ``limit`` best hits of a query over all sources: adds ``place`` (from 1), the hits held of
+    each source and of all (``source_hits, hits``) and whether some were cut off."""
+    per_source = found.groupBy("query_id", "source").agg(F.count("*").alias("source_hits"))
+    overall = per_source.groupBy("query_id").agg(F.sum("source_hits").alias("hits"))
+    best = keep_best(found, ["query_id"], F.desc("score"), F.col("source"), F.col("rank"), F.col("id"), k=limit, rank_col="place")
+    return best.join(per_source, ["query_id", "source"]).join(overall, "query_id").withColumn("truncated", F.col("hits") > limit)
+
+
 # Which column answers an identifier query directly, per source.
 DIRECT_KEYS: dict[str, dict[str, str]] = {
     "dila": {"juritext": "id", "ecli": "ecli", "pourvoi": "numero", "rg": "numero"},
@@ -92,6 +102,9 @@ def search_federated(queries: DataFrame, tables: dict[str, tuple[DataFrame, list
     asked = stage(route(classify_queries(queries, "query"), allowed), "routed")
     pairs = asked.select("*", F.explode("sources").alias("source"))
     rows = {s: to_result(tables[s][0], s) for s in allowed}
+    if date_min or date_max:  # dates decide before any limit
+        lo, hi = F.lit(date_min or "0001-01-01").cast("date"), F.lit(date_max or "9999-12-31").cast("date")
+        rows = {s: df.where(F.col("date").isNull() | F.col("date").between(lo, hi)) for s, df in rows.items()}
     direct = reduce(DataFrame.unionByName, [direct_hits(pairs.where(F.col("source") == s), rows[s], s) for s in allowed])
 
     by_text = pairs.where(F.col("intent") != "empty").join(
@@ -101,15 +114,14 @@ def search_federated(queries: DataFrame, tables: dict[str, tuple[DataFrame, list
                                 {s: (tables[s][0], id_of[s], tables[s][1]) for s in allowed})
     routed = matches.withColumnRenamed("collection", "source").join(
         by_text.select("query_id", "source"), ["query_id", "source"], "left_semi")
-    found = top_k(routed, per_source, per=["query_id", "source"]).select(
-        "query_id", "source", F.col("doc_id").alias("id"), "score")
     everything = reduce(DataFrame.unionByName, rows.values()).drop("relevance")
+    # Only ids and dates meet the matches; whole rows are joined to what the limit leaves.
+    routed = routed.withColumnRenamed("doc_id", "id").join(everything.select("source", "id", "date"), ["source", "id"])
+    found = top_k(routed, per_source, *hit_order(sort, "date", "score"), F.col("id"), per=["query_id", "source"]).select(
+        "query_id", "source", "id", "score")
     text_hits = everything.join(found, ["source", "id"]).withColumn(
         "relevance", F.when(F.col("source").isin(list(relevance_sources)), F.col("score"))).drop("score")
     hits = direct.unionByName(text_hits.select(*direct.columns))
-    if date_min or date_max:
-        lo, hi = F.lit(date_min or "0001-01-01").cast("date"), F.lit(date_max or "9999-12-31").cast("date")
-        hits = hits.where(F.col("date").isNull() | F.col("date").between(lo, hi))
     numbers = asked.select("query_id", "intent", F.when(
         F.col("intent").isin("fts", "phrase"), exact_number("intent_value")).alias("_number"))
     hits = hits.join(numbers, "query_id")

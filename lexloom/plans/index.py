@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import words
-from lexloom.runtime import collect_bounded, spread
 
 # Positions of the i-th field start at i * FIELD_GAP, so a phrase never crosses two fields.
 FIELD_GAP = 1 << 24
 # Term of the one row per document that restricted postings carry for its length.
 DOCUMENT_MARK = ""
+# Parts that the postings of one bucket are written in.
+SALTS = 4
 
 
 def _tokens(docs: DataFrame, id_col: str, fields: list[str], collection: str | None) -> DataFrame:
@@ -58,7 +59,6 @@ def _word_runs(split: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, id_col: str, fields: list[str], collection: str | None = None) -> DataFrame:
     """``collection, term, doc_id, tf, doc_len, positions`` — one row per word of a document."""
-    docs = spread(docs.select(id_col, *fields, *([] if collection else ["collection"])))
     split = docs.select(
         (F.lit(collection) if collection else F.col("collection")).alias("collection"), F.col(id_col).alias("doc_id"),
         *[words(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"_w{i}") for i, f in enumerate(fields)])
@@ -68,19 +68,30 @@ def postings(docs: DataFrame, id_col: str, fields: list[str], collection: str |
 
 
 def query_postings(docs: DataFrame, id_col: str, fields: list[str], only_terms: DataFrame,
-                   collection: str | None = None) -> DataFrame:
-    """Postings of just the given words (column ``term``), for searching without an index.
+                   collection: str | None = None, prefixes: DataFrame | None = None) -> DataFrame:
+    """Postings of just the given words (column ``term``) and of the words that begin with one of
+    ``prefixes`` (column ``prefix``), for searching without an index.
 
     Other words are dropped before the only shuffle. One extra row per document under the empty
-    term carries its length.
+    term carries its length. A word meets prefixes by equality: it offers its beginnings of the
+    lengths that are asked for.
     """
-    docs = spread(docs.select(id_col, *fields, *([] if collection else ["collection"])))
-    mark = only_terms.sparkSession.range(1).select(F.lit(DOCUMENT_MARK).alias("term"))
-    kept = only_terms.select("term").unionByName(mark).distinct()
-    tokens = _tokens(docs, id_col, fields, collection).join(kept, "term", "left_semi")
+    mark = only_terms.sparkSession.range(1).select(F.lit(DOCUMENT_MARK).alias("_key"))
+    kept = only_terms.select(F.col("term").alias("_key")).unionByName(mark)
+    tokens = _tokens(docs, id_col, fields, collection)
+    if prefixes is None:
+        tokens = tokens.withColumn("_key", F.col("term"))
+    else:
+        # One row: the different lengths of prefixes, of which there are no more than a word has letters.
+        lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+        offered = F.transform(F.filter("_lengths", lambda n: n <= F.length("term")), lambda n: F.concat(F.substring(F.col("term"), F.lit(1), n), F.lit("*")))
+        tokens = tokens.crossJoin(F.broadcast(lengths)).withColumn("_key", F.explode(F.array_append(offered, F.col("term")))).drop("_lengths")
+        kept = kept.unionByName(prefixes.select(F.concat("prefix", F.lit("*")).alias("_key")))
+    tokens = tokens.join(kept.distinct(), "_key", "left_semi")
+    # A word that is asked for itself and by a prefix stands here twice.
     return tokens.groupBy("collection", "term", "doc_id").agg(
-        F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"),
-        F.sort_array(F.collect_list("pos")).alias("positions"))
+        F.first("doc_len").alias("doc_len"), F.sort_array(F.collect_set("pos")).alias("positions")).select(
+        "collection", "term", "doc_id", F.size("positions").alias("tf"), "doc_len", "positions")
 
 
 def doc_stats(docs: DataFrame, id_col: str, fields: list[str], collection: str | None = None) -> DataFrame:
@@ -113,19 +124,21 @@ def marked_stats(posts: DataFrame) -> DataFrame:
 
 
 def write_postings(posts: DataFrame, table: str, buckets: int = 200) -> None:
-    """Persist postings bucketed and sorted by term: a query then reads only the buckets of its terms."""
-    posts.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
+    """Persist postings laid out by term and a salt of the document, sorted by term.
+
+    The exchange before the write gives each bucket to ``SALTS`` tasks, so the number of files is
+    bounded by buckets times salts whatever the number of input tasks, and the postings of a very
+    common word are spread over that many files.
+    """
+    salted = posts.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    dealt = salted.repartition(buckets * SALTS, F.pmod(F.hash("term"), F.lit(buckets)), "_salt")
+    dealt.drop("_salt").write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
 
 
-def read_postings(spark: SparkSession, table: str, terms: DataFrame | None = None, bound: int = 500) -> DataFrame:
-    """Postings of the given terms; few terms become a literal filter that prunes buckets and row groups."""
+def read_postings(spark: SparkSession, table: str, terms: DataFrame | None = None) -> DataFrame:
+    """Postings of the given terms, met by the term that the stored table is laid out by."""
     posts = spark.table(table)
-    if terms is None:
-        return posts
-    listed = collect_bounded(terms, "term", bound)
-    if listed is not None:
-        return posts.where(F.col("term").isin(listed))
-    return posts.join(terms.select("term").distinct(), "term", "left_semi")
+    return posts if terms is None else posts.join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def reindex(posts: DataFrame, docs: DataFrame, changed: DataFrame, id_col: str, fields: list[str],

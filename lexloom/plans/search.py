@@ -11,14 +11,12 @@ from lexloom.functions.queries import queries_to_clauses
 from lexloom.functions.text import fold
 from lexloom.operators.windows import keep_best
 from lexloom.plans.index import marked_stats, query_postings
-from lexloom.runtime import collect_bounded, stage
+from lexloom.runtime import stage
 
 # Okapi BM25 parameters (Robertson & Zaragoza).
 K1 = 1.2
 B = 0.75
 SNIPPET_TOKENS = 28
-# Up to this many query words are pushed to the index scan as literals.
-PRUNING_TERMS = 500
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -79,20 +77,13 @@ def atom_matches(atoms: DataFrame, posts: DataFrame, prefixes: bool | None = Non
                  vocabulary: DataFrame | None = None) -> DataFrame:
     """One row per query atom and document: how often the atom occurs there.
 
-    Words of a query meet the postings by equality; only phrases and prefixes need grouping. The vocabulary (by default the distinct words of the postings) is read only when the batch
-    has prefixes; without any, few words become a literal filter that prunes the scan. Callers
-    whose postings are restricted to the batch already say so by ``prefixes=False``.
+    Words of a query meet the postings by equality; only phrases and prefixes need grouping. The
+    vocabulary (by default the distinct words of the postings) is read only when the batch has
+    prefixes, which callers that know may say.
     """
-    stored_index = prefixes is None
-    if stored_index:
+    if prefixes is None:
         prefixes = not atoms.where("is_prefix").isEmpty()
-    if prefixes:
-        slots = _slots(atoms, vocabulary if vocabulary is not None else posts.select("term"))
-    else:
-        slots = _slots(atoms, None)
-        listed = collect_bounded(query_terms(atoms), "term", PRUNING_TERMS) if stored_index else None
-        if listed is not None:
-            posts = posts.where(F.col("term").isin(listed))
+    slots = _slots(atoms, (vocabulary if vocabulary is not None else posts.select("term")) if prefixes else None)
     starts = F.transform("positions", lambda p: p - F.col("slot"))
     shared = ["collection", "query_id", "doc_id", "atom_id", "clause_id", "op", "required", "doc_len"]
     hits = posts.join(slots, "term")
@@ -153,10 +144,12 @@ def scan_postings(atoms: DataFrame, docs: DataFrame, id_col: str, fields: list[s
                   collection: str | None) -> tuple[DataFrame, DataFrame]:
     """Postings and corpus statistics of just the words of a batch, in one pass over unindexed documents.
 
-    Only for batches without prefixes. The result is small and used several times, so it is
+    Prefixes are looked up in the same pass. The result is small and used several times, so it is
     written to the shared folder.
     """
-    posts = stage(query_postings(docs, id_col, fields, query_terms(atoms), collection), "scan-postings")
+    asked = atoms.where("is_prefix").select(F.element_at("terms", -1).alias("prefix")).distinct()
+    prefixes = None if asked.isEmpty() else asked
+    posts = stage(query_postings(docs, id_col, fields, query_terms(atoms), collection, prefixes), "scan-postings")
     return posts, marked_stats(posts)
 
 
@@ -165,7 +158,7 @@ def match_docs(queries: DataFrame, docs: DataFrame, id_col: str, fields: list[st
     """Matches of a query batch over documents without an index."""
     atoms = parsed(queries)
     posts, corpus = scan_postings(atoms, docs, id_col, fields, collection)
-    return match(atoms, posts, corpus, prefixes=False)
+    return match(atoms, posts, corpus)
 
 
 def match_collections(queries: DataFrame, tables: dict[str, tuple[DataFrame, str, list[str]]]) -> DataFrame:

@@ -103,15 +103,16 @@ def expand_queries(queries: DataFrame, concepts: DataFrame, labels: DataFrame, s
     return _rewrite(cut.join(options, "query_id", "left"))
 
 
-def expand_with_dict(queries: DataFrame, synonyms: DataFrame, max_words: int = 6) -> DataFrame:
+def expand_with_dict(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Expansion from a flat synonym table (``term, synonyms``): the longest key first, no overlaps."""
     keys = synonyms.select(fold_upper("term").alias("_key"), "synonyms")
+    widest = keys.agg(F.coalesce(F.max(F.size(F.split("_key", r"\s+"))), F.lit(1)).alias("_widest"))  # one row
     cut = queries.withColumn("_scope", F.lit("toutes")).withColumn("_segs", segments("query")).withColumn(
         "_terms", F.transform(F.filter("_segs", lambda s: s["kind"] == "term"), lambda s: s["text"]))
     runs = F.flatten(F.transform("_terms", lambda _, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_terms") - i)),
+        F.sequence(F.lit(1), F.least(F.col("_widest"), F.size("_terms") - i)),
         lambda n: F.struct(i.alias("at"), n.alias("span"), F.array_join(F.slice("_terms", i + 1, n), " ").alias("term")))))
-    grams = cut.where(F.size("_terms") > 0).select("query_id", F.inline(runs)).withColumn("_key", fold_upper("term"))
+    grams = cut.crossJoin(F.broadcast(widest)).where(F.size("_terms") > 0).select("query_id", F.inline(runs)).withColumn("_key", fold_upper("term"))
     options = "array<struct<at:int,span:int,term:string,synonyms:array<string>>>"
     # Longest key first: take the candidates in that order and keep each that touches no earlier one.
     longest = lambda a, b: F.when(F.length(a["term"]) > F.length(b["term"]), -1).when(

@@ -62,11 +62,30 @@ ORACLES["change_counts"] = f"""WITH {_KEPT_SQL}, {_BATCH_SQL} SELECT CASE WHEN i
 def versions(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders").select(F.col("o_custkey").alias("legiarti"), F.col("o_orderdate").cast("date").alias("date_debut"), F.lit("a").alias("v"))
     old = o.where(F.col("legiarti") % 2 == 0).dropDuplicates(["legiarti", "date_debut"])
-    return merge.append_versions(old, o.withColumn("v", F.lit("b"))).groupBy("v").agg(F.count("*").alias("n"))
+    return merge.append_versions(old, o.withColumn("v", F.lit("b")))
 
 
 QUERIES["append_versions"] = versions
-ORACLES["append_versions"] = "SELECT CASE WHEN c % 2 = 0 THEN 'a' ELSE 'b' END AS v, count(*) AS n FROM (SELECT DISTINCT o_custkey AS c, CAST(o_orderdate AS DATE) AS d FROM orders) GROUP BY ALL"
+ORACLES["append_versions"] = "SELECT DISTINCT o_custkey AS legiarti, CAST(o_orderdate AS DATE) AS date_debut, CASE WHEN o_custkey % 2 = 0 THEN 'a' ELSE 'b' END AS v FROM orders"
+
+
+def open_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions with an open start, delivered twice."""
+    o = table(spark, folder, "orders").select(F.col("o_custkey").alias("legiarti"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate").cast("date")).alias("date_debut"),
+                                              F.col("o_orderkey").alias("v"))
+    once = merge.append_versions(o.limit(0), o, "v")
+    return merge.append_versions(once, o, "v")
+
+
+QUERIES["append_versions_twice"] = open_versions
+ORACLES["append_versions_twice"] = "SELECT o_custkey AS legiarti, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS date_debut, min(o_orderkey) AS v FROM orders GROUP BY ALL"
+QUERIES["patch_columns_twice"] = lambda spark, folder: joins.patch_columns(_rows(spark, folder), batch(spark, folder), "id", "seq").select("id", "v", "o_custkey")
+ORACLES["patch_columns_twice"] = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 < 5 THEN o_orderstatus WHEN o_orderkey % 2 = 0 THEN o_orderstatus || '2'
+  ELSE lower(o_orderstatus) END AS v, o_custkey FROM orders"""
+QUERIES["patch_text_twice"] = lambda spark, folder: joins.patch_text(table(spark, folder, "documents"), table(spark, folder, "documents").select(
+    "doc_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("text")).withColumn("n", F.when(F.col("text") == "a", 2).otherwise(1)), "doc_id", "text", 1000, "n").select(
+    "doc_id", F.md5("text").alias("digest"))
+ORACLES["patch_text_twice"] = "SELECT doc_id, md5(CASE WHEN length(text) < 1000 OR NOT contains(text, chr(10)) THEN 'a' ELSE text END) AS digest FROM documents"
 QUERIES["align_schema"] = lambda spark, folder: merge.align_schema(kept(spark, folder), _rows(spark, folder).where("id % 10 = 9").withColumnRenamed("o_custkey", "extra")).groupBy(
     F.col("extra").isNull().alias("blank")).agg(F.count("*").alias("n"), F.count("v").alias("filled"))
 ORACLES["align_schema"] = "SELECT o_orderkey % 10 < 7 AS blank, count(*) AS n, count(o_orderstatus) AS filled FROM orders WHERE o_orderkey % 10 < 7 OR o_orderkey % 10 = 9 GROUP BY ALL"
@@ -206,6 +225,22 @@ def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return target.read().select(F.col("id").cast("long").alias("id"), "v")
 
 
+def stream_late(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries whose time stamps go back by months while the log is read, file by file."""
+    work = _work_dir(spark, "late")
+    entries = log(spark, folder).withColumn("tx_id", F.concat_ws("-", "id", "seq")).withColumn(
+        "ts", F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id") * 3600)).withColumn("id", F.col("id").cast("string"))
+    for part in range(3):
+        entries.where(F.pmod(F.xxhash64("tx_id"), F.lit(3)) == part).select("seq", "tx_id", "id", "op", "ts", "v").coalesce(1).write.mode("append").json(f"{work}/in")
+        target = ChangeTable(spark, f"{work}/table", "id string, v string", "id")
+        if part == 0:
+            target.create(kept(spark, folder).withColumn("id", F.col("id").cast("string")))
+        flows.stream_change_log(spark, f"{work}/in", "v string", target, f"{work}/cp").awaitTermination()
+    return target.read().select(F.col("id").cast("long").alias("id"), "v")
+
+
+QUERIES["stream_late_changes"] = stream_late
+ORACLES["stream_late_changes"] = ORACLES["apply_changes"]
 QUERIES["stream_upsert"] = stream_upsert
 ORACLES["stream_upsert"] = ORACLES["apply_changes"]
 QUERIES["skip_complete"] = lambda spark, folder: flows.skip_complete(table(spark, folder, "documents"), table(spark, folder, "documents").where("doc_id % 2 = 0"), "doc_id", "text", 1000).select("doc_id")

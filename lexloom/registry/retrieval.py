@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import words
 from lexloom.operators.filters import to_result
 from lexloom.operators.windows import dedup_by_parent, dedup_hits, order_hits, page, page_hits, page_marker, union_sources
-from lexloom.plans import federation, index, search
+from lexloom.plans import collections, federation, index, search
 from lexloom.registry import Query, table
 from lexloom.runtime import stage
 
@@ -157,6 +157,29 @@ r AS (SELECT *, {_RANK} FROM score WHERE held = 2)
 SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10"""
 
 
+def prefix_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search over documents without an index."""
+    q = _queries(spark, folder, _q('"', F.substring(_word(3), 1, 4), '"* "', _word(5), '"'))
+    return _hits(search.match_docs(q, documents(spark, folder), "doc_id", ["text"]))
+
+
+QUERIES["search_prefix_all"] = prefix_scan
+ORACLES["search_prefix_all"] = ORACLES["prefix"]
+
+
+def prefix_excluded(spark: SparkSession, folder: str) -> DataFrame:
+    q = _queries(spark, folder, _q('"', _word(5), '" -', F.substring(_word(3), 1, 4), "*"))
+    return _hits(search.match_docs(q, documents(spark, folder), "doc_id", ["text"]))
+
+
+QUERIES["search_prefix_not"] = prefix_excluded
+ORACLES["search_prefix_not"] = f"""WITH {_DOCS_SQL}, {_BASE_SQL},
+hit AS (SELECT coll, query_id, 1 AS atom, 1 AS clause, doc_id, tf, dl FROM bw JOIN tf ON term = w[5]), {_SCORE_SQL},
+bad AS (SELECT query_id, doc_id FROM bw JOIN tf ON starts_with(term, substr(w[3], 1, 4))),
+r AS (SELECT *, {_RANK} FROM score s WHERE held = 1 AND NOT EXISTS (SELECT 1 FROM bad b WHERE b.query_id = s.query_id AND b.doc_id = s.doc_id))
+SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10"""
+
+
 def citing_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that contain the opening of a benchmark passage."""
     q = _queries(spark, folder, _q('"', F.array_join(F.slice("w", 1, 6), " "), '"'))
@@ -174,7 +197,7 @@ def snippet(spark: SparkSession, folder: str) -> DataFrame:
     q = _queries(spark, folder, _q('"', _word(1), '" "', _word(2), '"'))
     atoms = search.parsed(q)
     posts, corpus = search.scan_postings(atoms, docs, "doc_id", ["text"], "documents")
-    hits = search.top_k(search.match(atoms, posts, corpus, prefixes=False), 3)
+    hits = search.top_k(search.match(atoms, posts, corpus), 3)
     return search.with_snippets(hits, docs, atoms, "doc_id", "text").select("query_id", "doc_id", "extract")
 
 
@@ -216,10 +239,24 @@ u AS (SELECT query_id // 2 AS query_id, query_id % 2 AS variant, coll AS source,
       FROM r WHERE rank <= 5)
 SELECT * FROM u WHERE variant = (SELECT min(variant) FROM u x WHERE x.query_id = u.query_id)"""
 
+
+
+def search_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """One list of the three best over all collections, with what each holds."""
+    found = search_all_weighted(spark, folder)
+    return federation.merge_sources(found, 3).withColumn("place", F.col("place").cast("long"))
+
+
+QUERIES["search_all_merged"] = search_merged
+ORACLES["search_all_merged"] = f"""WITH f AS ({ORACLES['search_all_weighted']}), r AS (SELECT *,
+  row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, rank, id) AS place, count(*) OVER (PARTITION BY query_id, source) AS source_hits,
+  count(*) OVER (PARTITION BY query_id) AS hits FROM f)
+SELECT *, hits > 3 AS truncated FROM r WHERE place <= 3"""
+
 _DATE_SQL = "DATE '2000-01-01' + CAST({k} % 4000 AS INTEGER)"
 
 
-def federated_topk(spark: SparkSession, folder: str) -> DataFrame:
+def _federated(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Documents, pages and conversations as three sources; a third of the queries are dockets."""
     day = lambda k: F.date_add(F.lit("2000-01-01").cast("date"), (F.col(k) % 4000).cast("int")).cast("string").alias("date")
     d = documents(spark, folder).select(F.col("doc_id").cast("string").alias("id"), "text", day("doc_id"),
@@ -230,24 +267,32 @@ def federated_topk(spark: SparkSession, folder: str) -> DataFrame:
     q = passages(spark, folder).select("query_id", F.when(F.col("query_id") % 3 == 0, docket).otherwise(_q('"', _word(1), '" "', _word(2), '"')).alias("query"))
     q = q.select("query_id", F.when(F.col("query").startswith('"'), F.concat(F.col("query"), F.lit(" "))).otherwise(F.col("query")).alias("query"))
     tables = {"dila": (d, ["text"]), "cjue": (p, ["text"]), "admin": (c, ["text"])}
-    return federation.search_federated(q, tables, limit=10, per_source=10).select(
+    return federation.search_federated(q, tables, limit=10, **options).select(
         "query_id", "intent", "source", "id", "date", F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES["federated_topk"] = federated_topk
-ORACLES["federated_topk"] = f"""WITH docs AS (SELECT 'dila' AS coll, CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents
+def _federated_sql(per_source: int, order: str = "score DESC, date DESC", dates: str = "true") -> str:
+    return f"""WITH docs AS (SELECT 'dila' AS coll, CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents
   UNION ALL SELECT 'cjue', CAST(page_id AS VARCHAR), html FROM pages UNION ALL SELECT 'admin', conv_id || '-' || turn, text FROM conversations),
-dates AS (SELECT 'dila' AS coll, CAST(doc_id AS VARCHAR) AS doc_id, {_DATE_SQL.format(k='doc_id')} AS date FROM documents
+dates AS (SELECT * FROM (SELECT 'dila' AS coll, CAST(doc_id AS VARCHAR) AS doc_id, {_DATE_SQL.format(k='doc_id')} AS date FROM documents
   UNION ALL SELECT 'cjue', CAST(page_id AS VARCHAR), {_DATE_SQL.format(k='page_id')} FROM pages
-  UNION ALL SELECT 'admin', conv_id || '-' || turn, {_DATE_SQL.format(k='conv_id')} FROM conversations), {_BASE_SQL},
+  UNION ALL SELECT 'admin', conv_id || '-' || turn, {_DATE_SQL.format(k='conv_id')} FROM conversations) WHERE {dates}), {_BASE_SQL},
 {_TWO_WORDS_SQL.replace('FROM bw', 'FROM bw WHERE query_id % 3 <> 0')}, {_SCORE_SQL},
-s AS (SELECT *, row_number() OVER (PARTITION BY coll, query_id ORDER BY score DESC, doc_id) AS rk FROM score WHERE held = 2),
-u AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'rg' ELSE 'phrase_or_fts' END AS intent, coll, doc_id FROM s WHERE rk <= 10
+s AS (SELECT *, row_number() OVER (PARTITION BY coll, query_id ORDER BY {order}, doc_id) AS rk FROM score JOIN dates USING (coll, doc_id) WHERE held = 2),
+u AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'rg' ELSE 'phrase_or_fts' END AS intent, coll, doc_id FROM s WHERE rk <= {per_source}
       UNION ALL SELECT item_id, 'rg', 'dila', CAST(doc_id AS VARCHAR) FROM benchmark JOIN documents ON doc_id = item_id WHERE item_id % 3 = 0),
 r AS (SELECT query_id, CASE WHEN intent = 'rg' THEN 'rg' ELSE 'fts' END AS intent, coll AS source, doc_id AS id, date,
         row_number() OVER (PARTITION BY query_id ORDER BY date DESC, coll, doc_id) AS rank FROM u JOIN dates USING (coll, doc_id))
 SELECT query_id, intent, source, id, date, rank FROM r WHERE rank <= 10"""
 
+
+QUERIES["federated_topk"] = lambda spark, folder: _federated(spark, folder, per_source=10)
+ORACLES["federated_topk"] = _federated_sql(10)
+QUERIES["federated_dates"] = lambda spark, folder: _federated(spark, folder, per_source=3, date_min="2000-06-01", date_max="2002-01-31")
+ORACLES["federated_dates"] = _federated_sql(3, dates="date BETWEEN DATE '2000-06-01' AND DATE '2002-01-31'")
+QUERIES["federated_date_sort"] = lambda spark, folder: _federated(spark, folder, per_source=2, sort="date_desc")
+ORACLES["federated_date_sort"] = _federated_sql(2, "date DESC")
+
 _ANY_WORD_SQL = """hit AS (SELECT t.coll, query_id, atom, 1 AS clause, doc_id, tf, dl FROM
   (SELECT query_id, 1 AS atom, w[3] AS term FROM bw UNION ALL SELECT query_id, 2, w[5] FROM bw) q JOIN tf t USING (term))"""
 
@@ -257,6 +302,25 @@ def _any_word(spark: SparkSession, folder: str) -> DataFrame:
     return search.match_docs(q, documents(spark, folder), "doc_id", ["text"])
 
 
+def statute_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as versions of articles, two to five each; the best version counts."""
+    d = documents(spark, folder).select(
+        F.floor(F.col("doc_id") / 4).cast("string").alias("legiarti"), F.col("source").alias("legitext"), F.col("text").alias("texte"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 4).cast("int")).alias("date_debut"))
+    q = _queries(spark, folder, _q('"', _word(3), '" OR "', _word(5), '"'))
+    return collections.search_statutes(q, d, 5).select("query_id", "legiarti", "legitext", "date_debut", F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES["search_statutes_versions"] = statute_versions
+ORACLES["search_statutes_versions"] = f"""WITH {_DOCS_SQL}, {_BASE_SQL}, {_ANY_WORD_SQL}, {_SCORE_SQL},
+v AS (SELECT query_id, CAST(doc_id // 4 AS VARCHAR) AS legiarti, source AS legitext, DATE '2000-01-01' + CAST(doc_id % 4 AS INTEGER) AS date_debut, score
+      FROM score JOIN documents USING (doc_id)),
+a AS (SELECT *, row_number() OVER (PARTITION BY query_id, legiarti ORDER BY score DESC, date_debut DESC) AS n1 FROM v),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, legitext ORDER BY score DESC, legiarti) AS n2 FROM a WHERE n1 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, date_debut DESC, legiarti) AS rank FROM t WHERE n2 = 1)
+SELECT query_id, legiarti, legitext, date_debut, rank FROM r WHERE rank <= 5"""
+
+
 def parent_hits(spark: SparkSession, folder: str) -> DataFrame:
     hits = search.attach(_any_word(spark, folder), documents(spark, folder), "doc_id", "source")
     return dedup_by_parent(hits, "source", "doc_id").select("query_id", "source", "doc_id", F.round("score", 4).alias("score"))

@@ -1,4 +1,4 @@
-"""Session helpers: shared staging area, literal dimension tables, bounded driver reads."""
+"""Session helpers: shared staging area, literal dimension tables."""
 
 from __future__ import annotations
 
@@ -54,18 +54,6 @@ def fence(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*kept, F.inline_outer(F.array(F.struct(*columns))))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out evenly when the input has fewer partitions than the session has cores.
-
-    Meant before heavy per-row text work on a few large files; an input that already has enough
-    partitions (any real corpus) is left alone and not shuffled.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def values_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
     """A small table of literal rows that the optimizer knows the size of.
 
@@ -85,16 +73,6 @@ def values_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) ->
     return one.select(F.inline(F.array(*structs)))
 
 
-def collect_bounded(df: DataFrame, column: str, bound: int = 1000) -> list | None:
-    """Distinct values of ``column`` when there are at most ``bound``; otherwise None.
-
-    The read is limited before it reaches the driver, so the driver never holds
-    more than ``bound + 1`` values.
-    """
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(bound + 1).collect()
-    return None if len(rows) > bound else [r[0] for r in rows]
-
-
 def map_lookup(mapping: dict[str, str], key: Column, default: Column | None = None) -> Column:
     """Look ``key`` up in a fixed mapping held as a literal map."""
     literal = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])

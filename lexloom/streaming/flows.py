@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lexloom.operators.joins import stable_id
+from lexloom.operators.merge import first
 from lexloom.operators.windows import retain_latest
 from lexloom.streaming.tables import ChangeTable
 
@@ -48,26 +49,26 @@ CHANGE = "seq long, tx_id string, id string, op string, ts timestamp"
 
 
 def stream_change_log(spark: SparkSession, path: str, row_schema: str, target: ChangeTable, checkpoint: str,
-                      overlap: str = "26 hours", id_source: Callable[[], DataFrame] | None = None) -> StreamingQuery:
-    """Transaction log whose pages overlap: repeats are dropped within the overlap, the rest is idempotent.
+                      id_source: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """Transaction log whose pages overlap. Entries are ordered by their number, so repeats change
+    nothing and an entry that arrives late, however late, still counts.
 
     ``row_schema`` adds the content columns. With ``id_source`` a re-issued decision keeps the
     id it is already known under.
     """
     log = spark.readStream.schema(f"{CHANGE}, {row_schema}").json(path)
-    once = log.withWatermark("ts", overlap).dropDuplicatesWithinWatermark(["tx_id"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         changes = stable_id(batch, id_source()) if id_source else batch
         target.append(changes, batch_id)
 
-    return _run(once, handle, checkpoint)
+    return _run(log, handle, checkpoint)
 
 
 def skip_complete(batch: DataFrame, target: DataFrame, id_col: str, text_col: str = "text", min_len: int = 100) -> DataFrame:
     """Rows of a batch whose id is not yet held with a usable text."""
     done = target.where(F.length(text_col) > min_len).select(id_col)
-    return batch.dropDuplicates([id_col]).join(done, id_col, "left_anti")
+    return first(batch, id_col, batch.columns).join(done, id_col, "left_anti")
 
 
 def local_time(ts: Column | str) -> Column:
