@@ -311,20 +311,7 @@ LANGUAGE_PRIORITY = ["FRE", "ENG"]
 
 # Rows per enumeration page and volume from which a category gets its own page.
 ENUMERATION_PAGE = 50_000
-CATEGORY_PAGE_MIN = 100
-
-# Identifier format -> extraction family (prefix or shape, example, meaning).
-IDENTIFIER_FORMATS = [
-    ("judicial", "JURITEXT*, JURI*", "JURITEXT000042579700"),
-    ("constitutional", "CONSTEXT*", "CONSTEXT000047529913"),
-    ("admin_open_data", "DCE_*, DTA_*, DCAA_*", "DCE_473286_20231123"),
-    ("admin_bulk", "CETATEXT*", "CETATEXT000048352255"),
-    ("council_of_state", "/Ariane_Web/AW_DCE/|N, |N", "|461534"),
-    ("human_rights", "001-XXXXXX", "001-249914"),
-    ("eu_court", "CELEX (6XXXXCJXXXX), ECLI:EU:*", "62012CJ0131"),
-    ("statute_article", "LEGIARTI*", "LEGIARTI000006438819"),
-    ("statute_text", "LEGITEXT*, JORFTEXT*", "JORFTEXT000000215117"),
-]
+
 
 
 def code_table(spark: SparkSession) -> DataFrame:
@@ -332,19 +319,8 @@ def code_table(spark: SparkSession) -> DataFrame:
     return values_table(spark, CODE_TEXT_IDS.items(), "code string, text_id string")
 
 
-def court_table(spark: SparkSession) -> DataFrame:
-    """``court_code, court_name`` — fixed size, safe to broadcast."""
-    return values_table(spark, ADMIN_COURTS.items(), "court_code string, court_name string")
-
-
-def authority_table(spark: SparkSession) -> DataFrame:
-    return values_table(spark, AUTHORITY.items(), "source string, weight double")
-
 
 def scope_table(spark: SparkSession) -> DataFrame:
     rows = [(scope, src) for scope, sources in SCOPE_SOURCES.items() for src in sources]
     return values_table(spark, rows, "scope string, source string")
 
-
-def identifier_table(spark: SparkSession) -> DataFrame:
-    return values_table(spark, IDENTIFIER_FORMATS, "family string, format string, example string")

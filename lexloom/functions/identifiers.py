@@ -181,7 +181,7 @@ def source_url(identifier: Column | str, legitext: Column | None = None, at_date
 
 
 def id_family(identifier: Column | str) -> Column:
-    """Family that an identifier belongs to (see ``dims.IDENTIFIER_FORMATS``), NULL when unknown."""
+    """Family that an identifier belongs to, NULL when unknown."""
     ident = F.trim(_c(identifier))
     return (
         F.when(ident.startswith("CONSTEXT"), "constitutional")
