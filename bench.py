@@ -1,7 +1,8 @@
 """Time the headline queries: one JSON line on standard output.
 
 Environment: BENCH_SF_DIR (tables), BENCH_CPUS (threads), BENCH_RUNS (runs per query, default 2;
-the last run counts, so the JVM is warm).
+the last run counts, so the JVM is warm). ``duckdb`` in the output holds the seconds of each query's SQL
+counterpart in DuckDB on the same tables and threads.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ import os
 import sys
 import time
 
+import duckdb
 from pyspark.sql import SparkSession
 
-from lexloom.registry import all_queries
+from lexloom.registry import all_oracles, all_queries
 
 HEADLINE = [
     "law_at_date", "resolve_citations", "decisions_citing", "postings", "bm25_search", "phrase", "search_all_weighted",
@@ -45,8 +47,16 @@ def main() -> None:
             spent = time.perf_counter() - start
         seconds[name] = round(spent, 3)
         print(f"{name}: {spent:.2f}s", file=sys.stderr)
+    con, oracles, reference = duckdb.connect(), all_oracles(), {}
+    con.sql(f"SET threads = {int(cpus)}")
+    for file in sorted(os.listdir(folder)):
+        con.sql(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{folder}/{file}'")
+    for name in HEADLINE:
+        start = time.perf_counter()
+        con.sql(oracles[name]).fetchall()
+        reference[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-                      "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
+                      "queries": seconds, "duckdb": reference, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 

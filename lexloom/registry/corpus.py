@@ -67,14 +67,14 @@ SELECT page_id, card_no, trim(regexp_replace({_UNESC.format("regexp_extract(card
 
 def text_columns(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents")
-    return d.select("doc_id", F.md5(text.fold("text")).alias("folded"), text.preview(F.substring("text", 1, 5000), 80).alias("preview"),
+    return d.select("doc_id", F.md5(text.fold("text")).alias("folded"), text.preview("text", 80).alias("preview"),
                     F.md5(text.norm_name("source")).alias("name"), text.norm_article(F.concat(F.lit(" R. "), F.col("n_chars").cast("string"), F.lit("-8"))).alias("article"),
                     F.md5(text.fix_line_separators(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("repaired"),
                     text.clean_highlights(F.concat(F.lit("{1,2}<em>"), F.col("source"), F.lit("</em> {3,4}"))).alias("clean"))
 
 
 QUERIES["text_functions"] = text_columns
-ORACLES["text_functions"] = r"""WITH d AS (SELECT *, trim(regexp_replace(substr(text, 1, 5000), '\s+', ' ', 'g')) AS flat FROM documents)
+ORACLES["text_functions"] = r"""WITH d AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents)
 SELECT doc_id, md5(strip_accents(lower(text))) AS folded, CASE WHEN length(flat) <= 80 THEN flat ELSE regexp_replace(substr(flat, 1, 80), ' [^ ]*$', '') || '…' END AS preview,
   md5(lower(source)) AS name, 'R' || n_chars || '-8' AS article, md5(text) AS repaired, source AS clean FROM d"""
 

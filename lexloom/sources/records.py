@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lexloom import dims
 from lexloom.functions.identifiers import celex_to_ecli, rg_key
 from lexloom.functions.text import strip_markup_keep_paras
 from lexloom.operators.joins import location_name
-from lexloom.runtime import blank_to_null, map_lookup
+from lexloom.runtime import blank_to_null, map_lookup, stage
 
 
 def _s(col: str | Column) -> Column:
@@ -174,24 +176,21 @@ def read_cjeu_bindings(spark: SparkSession, path: str) -> DataFrame:
         F.substring("date.value", 1, 10).alias("date"), F.substring_index("type.value", "/", -1).alias("type"), F.col("title.value").alias("title"))
 
 
-def flatten_toc(df: DataFrame, toc_col: str = "toc", max_depth: int = 12) -> DataFrame:
+def flatten_toc(df: DataFrame, toc_col: str = "toc") -> DataFrame:
     """Articles of a statute's table of contents (JSON text with nested ``sections`` and ``articles``).
 
-    One level is unfolded per step; statutes nest a handful of levels, and a tree deeper than
-    ``max_depth`` is reported by a final row with ``truncated`` set instead of being cut silently.
+    One level is unfolded per step until none is left; each level is written to the shared folder.
     """
     keep = [c for c in df.columns if c != toc_col]
-    level = df.select(*keep, F.col(toc_col).alias("_node"), F.array().cast("array<string>").alias("path"))
-    out = None
-    for _ in range(max_depth):
+    level = stage(df.select(*keep, F.col(toc_col).alias("_node"), F.array().cast("array<string>").alias("path")), "toc")
+    found = []
+    while not found or not level.isEmpty():
         articles = F.from_json(F.get_json_object("_node", "$.articles"), "array<struct<id:string,num:string,etat:string,title:string>>")
-        here = level.select(*keep, "path", F.inline(articles)).withColumn("truncated", F.lit(False))
-        out = here if out is None else out.unionByName(here)
+        found.append(level.select(*keep, "path", F.inline(articles)))
         sections = F.from_json(F.get_json_object("_node", "$.sections"), "array<string>")
-        level = level.select(*keep, "path", F.explode(sections).alias("_node")).withColumn(
-            "path", F.array_append("path", F.coalesce(F.get_json_object("_node", "$.title"), F.lit("")))).select(*keep, "_node", "path")
-    rest = level.select(*keep, "path").withColumn("truncated", F.lit(True))
-    return out.unionByName(rest, allowMissingColumns=True)
+        level = stage(level.select(*keep, "path", F.explode(sections).alias("_node")).withColumn(
+            "path", F.array_append("path", F.coalesce(F.get_json_object("_node", "$.title"), F.lit("")))).select(*keep, "_node", "path"), "toc")
+    return reduce(DataFrame.unionByName, found)
 
 
 def read_patch_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:

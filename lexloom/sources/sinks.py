@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lexloom.functions.dates import clean_iso_date
 from lexloom.plans.index import write_postings  # noqa: F401  (index tables are a sink too)
 
+# Files that one year of a table is written in.
+YEAR_SALTS = 8
+
 
 def write_csv_sorted(df: DataFrame, path: str, *order, files: int | None = None) -> None:
     """`;`-delimited export in global order; the files' names follow that order."""
@@ -27,18 +30,22 @@ def write_json(df: DataFrame, path: str, meta: DataFrame | None = None) -> None:
 
 
 def write_table(df: DataFrame, path: str, date_col: str | None = "date", mode: str = "overwrite") -> None:
-    """Collection table as Parquet, partitioned by year so that date filters prune folders."""
+    """Collection table as Parquet, partitioned by year so that date filters prune folders.
+
+    The rows of a year are dealt to ``YEAR_SALTS`` tasks before the write, so a year has that many
+    files whatever the number of input tasks.
+    """
     if date_col is None:
         df.write.mode(mode).parquet(path)
         return
     day = clean_iso_date(F.col(date_col).cast("string"))
-    df.withColumn("year", F.coalesce(F.year(day), F.lit(0))).write.mode(mode).partitionBy("year").parquet(path)
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(YEAR_SALTS))
+    df.withColumn("year", F.coalesce(F.year(day), F.lit(0))).repartition("year", salt).write.mode(mode).partitionBy("year").parquet(path)
 
 
-def freshness(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> DataFrame:
-    """Last file change of each collection."""
+def freshness(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Last file change of each collection, from the listing alone; no file is opened."""
     def one(name: str, path: str) -> DataFrame:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path) if fmt == "binaryFile" else (
-            spark.read.format(fmt).load(path).select(F.col("_metadata.file_modification_time").alias("modificationTime")))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("modificationTime")
         return files.agg(F.max("modificationTime").alias("last_update")).select(F.lit(name).alias("collection"), "last_update")
     return reduce(DataFrame.unionByName, [one(n, p) for n, p in paths.items()])

@@ -124,10 +124,11 @@ def test_toc(spark):
     toc = {"articles": [{"id": "A0", "num": "1"}], "sections": [{"title": "L1", "articles": [{"id": "A1", "num": "2"}],
                                                                 "sections": [{"title": "C1", "articles": [{"id": "A2", "num": "3"}]}]}]}
     df = spark.createDataFrame([("T", json.dumps(toc))], "cid string, toc string")
-    got = {r.id: r.path for r in records.flatten_toc(df, max_depth=4).where("not truncated").collect()}
-    assert got == {"A0": [], "A1": ["L1"], "A2": ["L1", "C1"]}
-    assert records.flatten_toc(df, max_depth=4).where("truncated").count() == 0
-    assert records.flatten_toc(df, max_depth=2).where("truncated").count() == 1
+    assert {r.id: r.path for r in records.flatten_toc(df).collect()} == {"A0": [], "A1": ["L1"], "A2": ["L1", "C1"]}
+    deep = {"articles": [{"id": "D"}]}
+    for i in range(15):
+        deep = {"title": str(i), "sections": [deep]}
+    assert [len(r.path) for r in records.flatten_toc(spark.createDataFrame([("T", json.dumps(deep))], "cid string, toc string")).collect()] == [15]
 
 
 def test_html(spark):
