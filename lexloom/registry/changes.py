@@ -221,7 +221,6 @@ def stream_upsert(spark: SparkSession, folder: str) -> DataFrame:
     target = ChangeTable(spark, f"{work}/table", "id string, v string", "id")
     target.create(kept(spark, folder).withColumn("id", F.col("id").cast("string")))
     flows.stream_change_log(spark, f"{work}/in", "v string", target, f"{work}/cp").awaitTermination()
-    target.compact()
     return target.read().select(F.col("id").cast("long").alias("id"), "v")
 
 

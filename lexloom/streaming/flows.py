@@ -27,19 +27,22 @@ def _run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint
 
 def stream_deltas(spark: SparkSession, path: str, schema: str, parse: Callable[..., DataFrame], target: ChangeTable,
                   checkpoint: str, row_tag: str | None = None, fmt: str = "xml", files_per_trigger: int = 1000) -> StreamingQuery:
-    """Daily delta files of a collection, parsed and merged; later files win.
+    """Daily delta files of a collection, parsed and merged; later deliveries win.
 
-    ``parse(raw, "_seq")`` projects records and passes the file time through; that time orders
-    deliveries, so replaying a day after a newer one changes nothing.
+    ``parse(raw, "_seq", "_file")`` projects records and passes the order through: the day that the
+    path names, else the file's time, and then the file's name, because the files of an unpacked
+    archive share one time. Replaying a day after a newer one changes nothing.
     """
     reader = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     if row_tag:
         reader = reader.option("rowTag", row_tag).option("attributePrefix", "_").option("valueTag", "_VALUE")
+    named, day = F.col("_metadata.file_path"), r"^.*(?<!\d)(20\d{2})-?([01]\d)-?([0-3]\d)(?!\d)"
+    delivered = F.try_to_timestamp(F.concat_ws("-", *[F.regexp_extract(named, day, i) for i in (1, 2, 3)]), F.lit("yyyy-MM-dd"))
     raw = reader.option("recursiveFileLookup", "true").load(path).withColumn(
-        "_seq", F.unix_millis(F.col("_metadata.file_modification_time")))
+        "_seq", F.unix_millis(F.coalesce(delivered, F.col("_metadata.file_modification_time")))).withColumn("_file", named)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = parse(batch, "_seq").withColumnRenamed("_seq", "seq")
+        rows = parse(batch, "_seq", "_file").withColumnsRenamed({"_seq": "seq", "_file": "file"})
         target.append(rows.withColumn("op", F.lit("modify")), batch_id)
 
     return _run(raw, handle, checkpoint)

@@ -1,72 +1,43 @@
-"""A keyed table kept as snapshots plus change batches on plain Parquet."""
+"""A keyed table kept as its first rows plus batches of changes, all plain Parquet."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from lexloom.operators.merge import apply_changes, latest
 
+#: What decides between two changes of a key: event order, then the file it came in, then the batch.
+ORDER = ["seq", "file", "batch"]
+
 
 class ChangeTable:
-    """Merge-on-read table: ``snapshot=<batch>/`` folders and ``changes/batch=<id>/`` folders.
+    """``base`` holds the rows it began with, ``changes`` one folder for each batch, as a partition.
 
-    A batch is written under its own id with overwrite, so a retried batch replaces itself; the
-    reader applies the batches that are newer than the last snapshot. Compaction writes a new
-    snapshot and never touches files a reader may be using.
+    A batch is written under its own id, so a retried batch replaces itself; reading is one scan
+    of both and :func:`apply_changes`. To fold changes in, write ``read()`` as the base of a new table.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str):
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str | list[str]):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self.schema = StructType.fromDDL(schema)
-        self.log_schema = StructType([*self.schema.fields, StructField("seq", LongType()), *StructType.fromDDL("op string").fields])
-
-    def _folders(self, folder: str, prefix: str) -> list[int]:
-        """Numbers of the complete sub-folders, oldest first."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
-            if name.startswith(prefix) and fs.exists(done):
-                found.append(int(name[len(prefix):]))
-        return sorted(found)
+        self.log_schema = StructType.fromDDL(f"{schema}, seq long, file string, op string")
 
     def create(self, rows: DataFrame | None = None) -> None:
-        """The first snapshot (number -1, before every batch)."""
+        """The rows to begin with; without any, none."""
         rows = rows if rows is not None else self.spark.createDataFrame([], self.schema)
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/snapshot=-1")
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/base")
+        self.append(self.spark.createDataFrame([], self.log_schema), -1)
 
     def append(self, changes: DataFrame, batch_id: int) -> None:
-        """Store one batch of changes (row columns, ``seq``, ``op``), reduced to the last per key."""
-        last = latest(changes.select(*self.log_schema.names), self.key, "seq")
+        """Store one batch of changes (row columns, ``seq``, ``op``, optionally ``file``), reduced to the last per key."""
+        named = changes if "file" in changes.columns else changes.withColumn("file", F.lit(""))
+        last = latest(named.select(*self.log_schema.names), self.key, ORDER[:2])
         last.write.mode("overwrite").parquet(f"{self.path}/changes/batch={batch_id}")
 
-    def pending(self) -> tuple[int, list[int]]:
-        snapshot = max(self._folders(self.path, "snapshot="))
-        return snapshot, [b for b in self._folders(f"{self.path}/changes", "batch=") if b > snapshot]
-
     def read(self) -> DataFrame:
         """Current content."""
-        snapshot, batches = self.pending()
-        base = self.spark.read.schema(self.schema).parquet(f"{self.path}/snapshot={snapshot}")
-        if not batches:
-            return base
-        logs = [self.spark.read.schema(self.log_schema).parquet(f"{self.path}/changes/batch={b}").withColumn("_batch", F.lit(b))
-                for b in batches]
-        log = logs[0]
-        for more in logs[1:]:
-            log = log.unionByName(more)
-        # A later delivery may repeat older events: the event order decides, the batch only breaks ties.
-        return apply_changes(base, log, self.key, ["seq", "_batch"])
-
-    def compact(self) -> None:
-        """Fold the pending batches into a new snapshot."""
-        _, batches = self.pending()
-        if batches:
-            self.read().write.mode("overwrite").parquet(f"{self.path}/snapshot={batches[-1]}")
+        base = self.spark.read.schema(self.schema).parquet(f"{self.path}/base")
+        log = self.spark.read.schema(StructType([*self.log_schema.fields, *StructType.fromDDL("batch long").fields])).parquet(f"{self.path}/changes")
+        return apply_changes(base, log, self.key, ORDER)

@@ -30,8 +30,9 @@ def test_change_table_is_idempotent(spark, tmp_path):
     assert state() == [("a", "1"), ("c", "1")]
     table.append(change([("c", "1", 3, "create"), ("a", "old", 0, "modify")]), 1)  # the same batch again
     assert state() == [("a", "1"), ("c", "1")]
-    table.compact()
-    assert table.pending() == (1, []) and state() == [("a", "1"), ("c", "1")]
+    folded = ChangeTable(spark, str(tmp_path / "u"), "id string, v string", "id")
+    folded.create(table.read())
+    assert sorted((r.id, r.v) for r in folded.read().collect()) == [("a", "1"), ("c", "1")]
 
 
 def test_delta_files(spark, tmp_path):
@@ -52,6 +53,27 @@ def test_delta_files(spark, tmp_path):
     assert state() == {"L1": "deux", "L2": "quatre"}
 
 
+def test_delta_files_of_one_archive(spark, tmp_path):
+    """One time stamp for all: the delivery day in the path decides, then the file's name."""
+    when = time.time()
+    for day, name, text in (("20240102", "a.xml", "nouveau"), ("20240101", "b.xml", "ancien"), ("20240102", "b.xml", "dernier")):
+        put(tmp_path / "in" / day, name, ARTICLE.format(id="L1", text=text), when)
+    schema = "legiarti string, texte string"
+    table = ChangeTable(spark, str(tmp_path / "t"), schema, "legiarti")
+    table.create()
+    flows.stream_deltas(spark, str(tmp_path / "in"), xml.STATUTE_ARTICLE, xml.statute_articles, table, str(tmp_path / "cp"), row_tag="ARTICLE").awaitTermination()
+    assert [r.texte for r in table.read().collect()] == ["dernier"]
+
+
+def test_late_change_log_entries_count(spark, tmp_path):
+    table = ChangeTable(spark, str(tmp_path / "t"), "id string, v string", "id")
+    table.create()
+    for i, day in enumerate(("10", "05", "11")):
+        put(tmp_path / "in", f"{i}.json", json.dumps({"seq": int(day), "tx_id": day, "id": f"d{i}", "op": "create", "ts": f"2024-01-{day}T00:00:00", "v": day}))
+        flows.stream_change_log(spark, str(tmp_path / "in"), "v string", table, str(tmp_path / "cp")).awaitTermination()
+    assert {r.id: r.v for r in table.read().collect()} == {"d0": "10", "d1": "05", "d2": "11"}
+
+
 def test_change_log_keeps_ids_and_drops_repeats(spark, tmp_path):
     rows = [{"seq": 1, "tx_id": "t1", "id": "h1", "op": "create", "ts": "2024-01-01T00:00:00", "numero": "21/05835"},
             {"seq": 1, "tx_id": "t1", "id": "h1", "op": "create", "ts": "2024-01-01T00:00:00", "numero": "21/05835"},
