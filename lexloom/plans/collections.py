@@ -17,17 +17,29 @@ from lexloom.runtime import blank_to_null
 from lexloom.schemas import COLLECTION_COLUMNS, TEXT_COLUMNS
 
 
+# Columns that never take part in ranking.
+LONG_TEXTS = ("text", "texte", "nota", "sommaire")
+
+
 def collection_matches(queries: DataFrame, df: DataFrame, collection: str, keep: Column | None = None,
                        id_col: str | None = None) -> DataFrame:
-    """All documents of a collection that satisfy a query, with their columns and score.
+    """All documents of a collection that satisfy a query, with their short columns and score.
 
     Filters apply after matching, so that word statistics always describe the whole collection.
+    Long texts stay behind until ranking has left a few rows; see :func:`with_texts`.
     """
     id_col = id_col or COLLECTION_COLUMNS[collection]["id"]
     fields = [c for c in TEXT_COLUMNS[collection] if c in df.columns]
     hits = match_docs(queries, df, id_col, fields, collection).select("query_id", F.col("doc_id").alias(id_col), "score")
     rows = df if keep is None else df.where(keep)
-    return hits.join(rows, id_col)
+    return hits.join(rows.drop(*LONG_TEXTS), id_col)
+
+
+def with_texts(hits: DataFrame, df: DataFrame, id_col: str) -> DataFrame:
+    """Ranked hits with the long texts of their documents, in the collection's order of columns."""
+    texts = df.select(id_col, *[c for c in LONG_TEXTS if c in df.columns])
+    own = [c for c in hits.columns if c not in df.columns]
+    return hits.join(texts, id_col).select(*[c for c in own if c == "query_id"], *df.columns, *[c for c in own if c != "query_id"])
 
 
 def between(collection: str, lo: str | None, hi: str | None) -> Column | None:
@@ -59,8 +71,8 @@ def ranked(hits: DataFrame, collection: str, k: int, sort: str = "relevance") ->
 
 def search_collection(queries: DataFrame, df: DataFrame, collection: str, k: int = 20, sort: str = "relevance",
                       date_min: str | None = None, date_max: str | None = None, keep: Column | None = None) -> DataFrame:
-    return ranked(collection_matches(queries, df, collection, _both(keep, between(collection, date_min, date_max))),
-                  collection, k, sort)
+    hits = collection_matches(queries, df, collection, _both(keep, between(collection, date_min, date_max)))
+    return with_texts(ranked(hits, collection, k, sort), df, COLLECTION_COLUMNS[collection]["id"])
 
 
 def search_statutes(queries: DataFrame, versions: DataFrame, k: int = 20, legitext: str | None = None,
@@ -69,9 +81,11 @@ def search_statutes(queries: DataFrame, versions: DataFrame, k: int = 20, legite
     keep = _both(F.col("legitext") == legitext if legitext else None, between("statute_version", date_min, date_max))
     # Every version is a document of its own; of an article the best version counts, the newer one in a tie.
     version = F.concat_ws("\u0001", "legiarti", F.coalesce(F.col("date_debut").cast("string"), F.lit("")))
-    hits = collection_matches(queries, versions.withColumn("_version", version), "statute_version", keep, "_version")
+    dated = versions.withColumn("_version", version)
+    hits = collection_matches(queries, dated, "statute_version", keep, "_version")
     best = keep_best(hits, ["query_id", "legiarti"], F.desc("score"), F.col("date_debut").desc_nulls_last())
-    return ranked(dedup_by_parent(best.drop("_version"), "legitext", "legiarti"), "statute_version", k, sort)
+    first = ranked(dedup_by_parent(best, "legitext", "legiarti"), "statute_version", k, sort)
+    return with_texts(first, dated, "_version").drop("_version")
 
 
 def search_gazette(queries: DataFrame, df: DataFrame, k: int = 20, nature: str | None = None, **opts) -> DataFrame:
@@ -105,14 +119,14 @@ def search_constit(queries: DataFrame, df: DataFrame, k: int = 20, nature: str |
     keep = _both(fold("juridiction").contains("conseil constitutionnel"), between("decision_enriched", date_min, date_max))
     hits = collection_matches(asked.select("query_id", "query"), df, "decision_enriched", keep)
     hits = hits.join(wanted, "query_id").where(F.col("_nature").isNull() | (F.col("nature") == F.col("_nature")))
-    return ranked(hits.drop("_nature"), "decision_enriched", k, "date_desc")
+    return with_texts(ranked(hits.drop("_nature"), "decision_enriched", k, "date_desc"), df, "id")
 
 
 def constit_by_number(refs: DataFrame, df: DataFrame) -> DataFrame:
     """The newest constitutional decision that carries each number (``query_id, number``)."""
     asked = refs.select("query_id", F.concat(F.lit('"'), F.col("number"), F.lit('"')).alias("query"))
     keep = fold("juridiction").contains("conseil constitutionnel")
-    return ranked(collection_matches(asked, df, "decision_enriched", keep), "decision_enriched", 1, "date_desc")
+    return with_texts(ranked(collection_matches(asked, df, "decision_enriched", keep), "decision_enriched", 1, "date_desc"), df, "id")
 
 
 def search_echr(queries: DataFrame, df: DataFrame, k: int = 20, min_len: int = 200) -> DataFrame:
@@ -122,12 +136,13 @@ def search_echr(queries: DataFrame, df: DataFrame, k: int = 20, min_len: int = 2
     number = F.when(F.col("query").rlike(shape), F.concat_ws(
         "/", F.regexp_extract("query", shape, 1), F.regexp_extract("query", shape, 2)))
     asked = queries.select("query_id", number.alias("_appno"))
-    hits = collection_matches(queries, df, "echr_decision", F.length(F.coalesce("text", F.lit(""))) > min_len)
-    hits = hits.join(asked, "query_id")
-    return keep_best(
+    sized = df.withColumn("_length", F.length(F.coalesce("text", F.lit(""))))
+    hits = collection_matches(queries, sized, "echr_decision", F.col("_length") > min_len).join(asked, "query_id")
+    best = keep_best(
         hits, ["query_id"], F.when(F.col("appno") == F.col("_appno"), 0).otherwise(1),
         F.when(F.col("doctype").isin(dims.FULL_JUDGMENTS), 0).otherwise(1), F.desc("score"),
-        F.length("text").desc(), F.col("itemid"), k=k, rank_col="rank").drop("_appno")
+        F.desc("_length"), F.col("itemid"), k=k, rank_col="rank").drop("_appno", "_length")
+    return with_texts(best, df, "itemid")
 
 
 def search_cjeu(queries: DataFrame, df: DataFrame, k: int = 20) -> DataFrame:
@@ -138,8 +153,9 @@ def search_cjeu(queries: DataFrame, df: DataFrame, k: int = 20) -> DataFrame:
         F.regexp_replace(F.regexp_extract("query", shape, 2), "^0+(?=\\d)", ""), F.lit("/"),
         F.regexp_extract("query", shape, 3)))
     hits = collection_matches(queries, df, "cjeu_decision").join(queries.select("query_id", case.alias("_case")), "query_id")
-    return keep_best(hits, ["query_id"], F.when(F.col("affaire_num") == F.col("_case"), 0).otherwise(1),
+    best = keep_best(hits, ["query_id"], F.when(F.col("affaire_num") == F.col("_case"), 0).otherwise(1),
                      F.desc("score"), F.col("celex"), k=k, rank_col="rank").drop("_case")
+    return with_texts(best, df, "celex")
 
 
 def search_admin(queries: DataFrame, df: DataFrame, k: int = 20, juridiction: str | None = None,
