@@ -16,8 +16,8 @@ from lexloom.llm.words import hash_spans, portions, split_words, text_bytes
 from lexloom.runtime import stage
 
 #: Slots of a worker's table of known units, and token ids kept for them.
-UNIT_SLOTS = 1 << 21
-UNIT_IDS = 8 << 20
+UNIT_SLOTS = 1 << 20
+UNIT_IDS = 4 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 

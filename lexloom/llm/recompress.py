@@ -30,7 +30,7 @@ from lexloom.llm.words import Words, join_names, mix64, owners, split_words, tex
 
 WINDOW = 13
 #: Text bytes of the documents that one task holds at a time.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Text bytes of a group for each bucket that its names are dealt to: about 16 names go together.
 BUCKET_BYTES = 512
 MESSAGE = "g long, bucket long, kind int, names binary, more binary, docs binary"

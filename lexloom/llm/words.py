@@ -20,7 +20,7 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SLAB = 1 << 18
-PORTION_BYTES = 4 << 20
+PORTION_BYTES = 2 << 20
 
 
 class Words(NamedTuple):
