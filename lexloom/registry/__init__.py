@@ -15,7 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    # The given text tables are files of one row group, which Spark reads in one task: deal them out.
+    return df.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "pages") else df
 
 
 def all_queries() -> dict[str, Query]:
