@@ -230,7 +230,7 @@ def stream_late(spark: SparkSession, folder: str) -> DataFrame:
     entries = log(spark, folder).withColumn("tx_id", F.concat_ws("-", "id", "seq")).withColumn(
         "ts", F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id") * 3600)).withColumn("id", F.col("id").cast("string"))
     for part in range(3):
-        entries.where(F.pmod(F.xxhash64("tx_id"), F.lit(3)) == part).select("seq", "tx_id", "id", "op", "ts", "v").coalesce(1).write.mode("append").json(f"{work}/in")
+        entries.where(F.pmod(F.xxhash64("tx_id"), F.lit(3)) == part).select("seq", "tx_id", "id", "op", "ts", "v").repartition("tx_id").write.mode("append").json(f"{work}/in")
         target = ChangeTable(spark, f"{work}/table", "id string, v string", "id")
         if part == 0:
             target.create(kept(spark, folder).withColumn("id", F.col("id").cast("string")))

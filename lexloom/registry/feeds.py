@@ -14,12 +14,19 @@ from lexloom.sources import records, sinks
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Records on one page of a listing, decisions with their texts in one object of an export, articles of one table of contents.
+LISTED, EXPORTED, ARTICLES = 512, 128, 1024
 
 
 def _work(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexloom-feeds/{name}-{uuid.uuid4().hex}"
 
 
+def _paged(df: DataFrame, size: int) -> DataFrame:
+    """Add ``_page``: every page has at most ``size`` (a power of two) rows, whatever their keys are, as rows are counted off in their task."""
+    return df.withColumn("_page", F.shiftright(F.monotonically_increasing_id(), size.bit_length() - 1))
+
+
 def directory_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as a contact file with quotes, line ends and several addresses."""
     work = _work(spark, "csv")
@@ -52,7 +59,7 @@ def echr_listing(spark: SparkSession, folder: str) -> DataFrame:
     work = _work(spark, "echr")
     item = F.struct(F.when(F.col("doc_id") % 10 > 0, F.col("doc_id").cast("string")).otherwise(" ").alias("itemid"), F.col("source").alias("docname"),
                     F.lit("2001-02-03T00:00:00").alias("kpdate"), F.col("lang").alias("doctype"))
-    pages = table(spark, folder, "documents").groupBy((F.col("doc_id") % 7).alias("page")).agg(F.collect_list(F.struct(item.alias("columns"))).alias("results"))
+    pages = _paged(table(spark, folder, "documents"), LISTED).groupBy("_page").agg(F.collect_list(F.struct(item.alias("columns"))).alias("results"))
     pages.select("results").write.option("maxRecordsPerFile", 1).json(work)
     return records.read_echr_listing(spark, work).select("itemid", "docname", "date", "doctype")
 
@@ -68,7 +75,7 @@ def cjeu_bindings(spark: SparkSession, folder: str) -> DataFrame:
     binding = F.struct(value(celex).alias("celex"), value(F.when(F.col("o_orderkey") % 2 == 0, F.lit("ECLI:EU:C:2019:1"))).alias("ecli"),
                        value(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("date"), value(F.concat(F.lit("http://x/y#/"), "o_orderstatus")).alias("type"),
                        value(F.col("o_orderpriority")).alias("title"))
-    page = table(spark, folder, "orders").groupBy((F.col("o_orderkey") % 5).alias("p")).agg(F.struct(F.collect_list(binding).alias("bindings")).alias("results"))
+    page = _paged(table(spark, folder, "orders"), LISTED).groupBy("_page").agg(F.struct(F.collect_list(binding).alias("bindings")).alias("results"))
     page.select("results").write.option("maxRecordsPerFile", 1).json(work)
     return records.read_cjeu_bindings(spark, work)
 
@@ -98,7 +105,7 @@ ORACLES["read_admin_hits"] = """SELECT CAST(doc_id AS VARCHAR) AS id, source AS
 def court_export(spark: SparkSession, folder: str) -> DataFrame:
     work = _work(spark, "export")
     row = F.struct(F.when(F.col("doc_id") % 9 > 0, F.col("doc_id").cast("string")).alias("id"), F.lit("autre").alias("jurisdiction"), F.array("source", "lang").alias("themes"), "text")
-    table(spark, folder, "documents").groupBy((F.col("doc_id") % 4).alias("p")).agg(F.collect_list(row).alias("results")).select("results").write.json(work)
+    _paged(table(spark, folder, "documents"), EXPORTED).groupBy("_page").agg(F.collect_list(row).alias("results")).select("results").write.json(work)
     return records.read_court_export(spark, work).select("id", "titre", "juridiction", F.md5("text").alias("digest"))
 
 
@@ -144,10 +151,10 @@ SELECT doc_id, len(list_distinct(w)) AS words, len(w) AS occurrences FROM t WHER
 
 
 def toc(spark: SparkSession, folder: str) -> DataFrame:
-    """Regions, nations and customers as a nested table of contents."""
+    """Regions, nations and customers as nested tables of contents, several of bounded size for each region."""
     c, n, r = (table(spark, folder, t) for t in ("customer", "nation", "region"))
-    leaf = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("num"))).alias("articles"))
-    mid = n.join(leaf, "n_nationkey").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(F.struct(F.col("n_name").alias("title"), "articles")).alias("sections"))
+    leaf = _paged(c, ARTICLES).groupBy("_page", F.col("c_nationkey").alias("n_nationkey")).agg(F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("num"))).alias("articles"))
+    mid = n.join(leaf, "n_nationkey").groupBy("_page", F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(F.struct(F.col("n_name").alias("title"), "articles")).alias("sections"))
     top = r.join(mid, "r_regionkey").select(F.col("r_regionkey").alias("text_id"), F.to_json(F.struct(F.lit("").alias("title"), F.array(F.struct(F.col("r_name").alias("title"), "sections")).alias("sections"))).alias("toc"))
     return records.flatten_toc(top).select("text_id", F.array_join("path", ">").alias("path"), "id", "num")
 
