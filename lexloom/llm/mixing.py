@@ -50,23 +50,24 @@ def _finish(turn: Column) -> Column:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: Sequence[float] = WEIGHTS, passes: int = PASSES, seed: str = "mix", keep_source: bool = False) -> DataFrame:
+        weights: Sequence[float] = WEIGHTS, passes: int = PASSES, seed: str = "mix", keep_source: bool = False, numbers: Sequence[str] = ()) -> DataFrame:
     """How many words of every document the mix takes: doc_id, size, source_size, target, taken.
 
     Inside its source a document stands at a place shuffled by a hash of its id and ``seed``. Its
     virtual finish time in each pass is the source's words up to and with it, divided by the
     source's target; the copies are sorted by that time over all sources and cut off where their
     words reach the total of all sizes. A document is taken whole, up to ``passes`` times. A null
-    text has no words and is never taken; a null source is a source; rows with equal id, source
-    and size share one fate; an empty table gives no rows; other columns are ignored.
+    text has no words and is never taken; a null source is a source; an empty table gives no rows.
+    Rows with equal id, source and size follow one another and are decided each, in the order of
+    the columns ``numbers``, which are kept, or in any order; other columns are ignored.
     """
     base = stage(docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(seed))).alias("place")), "mix-sizes")
+        F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(seed))).alias("place"), *numbers), "mix-sizes")
     aimed = stage(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, passes), "mix-targets")
     ranked = base.join(aimed, base["source"].eqNullSafe(aimed["source"])).select(
-        "doc_id", base["source"], "size", "place", "rank", "source_size", "target")
-    queued = stage(running_sums(ranked, ["place", "doc_id", "size"], ["size"], ["rank"]), "mix-queue")
+        "doc_id", base["source"], "size", "place", *numbers, "rank", "source_size", "target")
+    queued = stage(running_sums(ranked, ["place", "doc_id", "size", *numbers], ["size"], ["rank"]), "mix-queue")
     rated = queued.where("size > 0 and target > 0")
     copies = rated.select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
     key = ["finish", "rank", "pass", "place", "doc_id"]
@@ -80,20 +81,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     times = sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & (at(p) <= F.col("_cut")), 1).otherwise(0)
                  for p in range(passes)), F.lit(0))
     return queued.crossJoin(F.broadcast(cut)).select(  # one row
-        "doc_id", *(["source"] if keep_source else []), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
+        "doc_id", *(["source"] if keep_source else []), *numbers, "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"))
 
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed documents themselves: every row as often as ``mix`` takes it, with all its columns.
 
-    Rows are met again by id, size and source; rows equal in these three share one fate, so a
-    repeated row is decided once and repeated for each of its copies.
+    The rows are written once with a number each, by which they are met again, so repeated rows and
+    rows without an id are decided and counted each. Of rows equal in id, source and size those
+    with the lower hash of the text come first.
     """
-    taken = mix(docs, id_col, text_col, source_col, keep_source=True, **options).where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        (F.col("taken") / F.col("size")).cast("int").alias("_times")).distinct()
-    sized = docs.withColumn("_words", n_words(F.col(text_col)))
-    met = sized.join(taken, sized[id_col].eqNullSafe(F.col("_id")) & sized[source_col].eqNullSafe(F.col("_source"))
-                     & (F.col("_words") == F.col("_size")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    marked = numbered.withColumn("_mark", F.xxhash64(text_col))
+    taken = mix(marked, id_col, text_col, source_col, numbers=["_mark", "_row"], **options).where("taken > 0").select(
+        "_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
