@@ -18,6 +18,8 @@ from lexloom.runtime import stage
 #: Slots of a worker's table of known units, and token ids kept for them.
 UNIT_SLOTS = 1 << 20
 UNIT_IDS = 4 << 20
+#: Tokens that the vocabulary's tokenizer adds to it: their literals are cut out of a text before all else.
+ADDED = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -26,7 +28,8 @@ class UnitTokenizer:
 
     A unit is a word with the white space before it. The vocabulary's splitting pattern never joins
     letters across white space, so the ids of a text are those of its units in turn; texts with
-    white space outside ASCII, for which that does not hold, are encoded in one piece.
+    white space outside ASCII, for which that does not hold, are encoded in one piece. The literal
+    of an added token is that token, wherever it stands in a word.
     """
 
     def __init__(self, vocabulary: str, pattern: str):
@@ -34,9 +37,14 @@ class UnitTokenizer:
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encode = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("units", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
         self.clear()
 
+    def encode(self, text: str) -> list[int]:
+        if any(literal in text for literal in ADDED):
+            return self.encoding.encode(text, allowed_special="all")
+        return self.encoding.encode_ordinary(text)
+
     def clear(self) -> None:
         self.keys = np.zeros(UNIT_SLOTS, np.uint64)
         self.at, self.size = np.zeros(UNIT_SLOTS, np.int32), np.zeros(UNIT_SLOTS, np.int16)

@@ -1,8 +1,12 @@
-"""Repeated rows and rows without an id, against brute force."""
+"""Repeated rows, rows without an id and literals of added tokens, against brute force."""
 
 from collections import Counter
 
-from lexloom.llm import mixing
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from lexloom.llm import mixing, packing
 
 COLUMNS = "doc_id long, text string, source string"
 
@@ -51,3 +55,14 @@ def test_multiplicities_of_the_mix(spark):
     of_text, copies = Counter((r["source"], r["text"]) for r in rows), Counter((r["source"], r["text"]) for r in given)
     assert all(n <= 3 * copies[k] for k, n in of_text.items()) and len(rows) <= len(given)
     assert Counter((r["source"], r["text"]) for r in mixing.mix_rows(docs.repartition(5)).collect()) == of_text
+
+
+@pytest.mark.parametrize("texts", [["a <|endoftext|> b"], [
+    "<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|>y  <|endoftext|>\n\n z", " \t<|endoftext|>  ", "<|endoftext|", "a<|endoftext|>\u00a0 b\u3000<|endoftext|>'s",
+    "plain text", "\u2003<|endoftext|>\u2003\u2003x", "<|endoftext|>'ll  123<|endoftext|>4"]])
+def test_literals_of_added_tokens(spark, texts):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).collect()
+    assert {r["doc_id"]: r["ids"] for r in rows} == {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    assert len(texts) > 1 or rows[0]["ids"] == [64, 220, 50256, 275, 1]
