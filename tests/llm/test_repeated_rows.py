@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lexloom.llm import mixing, packing
 
 COLUMNS = "doc_id long, text string, source string"
@@ -66,3 +67,14 @@ def test_literals_of_added_tokens(spark, texts):
     rows = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).collect()
     assert {r["doc_id"]: r["ids"] for r in rows} == {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
     assert len(texts) > 1 or rows[0]["ids"] == [64, 220, 50256, 275, 1]
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = b.replace("b59", "other")
+    docs = spark.createDataFrame([(3, a, "s"), (3, a, "s"), (2, a, "t"), (2, a, "t"), (None, a, "s"), (None, b, "s"), (None, b, "s"), (None, near, "s"),
+                                  (3, c, "s"), (None, "", "s"), (None, None, "s"), (9, "", "s"), (9, "", "s")], COLUMNS)
+    rows = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert [r[:2] for r in rows if r[1] == a] == [(2, a)] and [r[:2] for r in rows if r[1] == c] == [(3, c)]
+    assert len([r for r in rows if r[1] in (b, near)]) == 1
+    assert len([r for r in rows if not r[1]]) == 4  # texts without words are near nothing
