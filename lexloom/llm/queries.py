@@ -75,4 +75,26 @@ def op10_centroid_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(docs, fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_byte_shards, op3_pivot_search, op4_fair_mix, op5_attention_quality, op6_recompressed_repeats, op7_bbit_near_duplicates, op8_bin_slack_packing, op9_one_permutation_prints, op10_centroid_language)}
+def op11_dual_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    from lexloom.llm.dualtree import search_lexical
+    return search_lexical(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
+
+
+def op12_winnowed_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the spans and items that ``contaminated_spans`` finds."""
+    from lexloom.llm.decontaminate import contaminated_spans
+    found = contaminated_spans(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op13_batch_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    from lexloom.llm.resample import resample
+    return resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=5).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_reputation, op2_byte_shards, op3_pivot_search, op4_fair_mix, op5_attention_quality, op6_recompressed_repeats, op7_bbit_near_duplicates,
+    op8_bin_slack_packing, op9_one_permutation_prints, op10_centroid_language, op11_dual_tree_search, op12_winnowed_decontamination, op13_batch_resampling)}

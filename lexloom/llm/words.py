@@ -15,6 +15,9 @@ import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are in no term: ASCII other than digits and a-z (A-Z is lower-cased before).
+NO_TERM = np.ones(256, bool)
+NO_TERM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -90,10 +93,10 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return names
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """All words of all texts; ``lower`` turns A-Z into a-z before naming."""
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> Words:
+    """All words of all texts; ``lower`` turns A-Z into a-z before naming, ``between`` marks the bytes that are in no word."""
     data = _LOWER[data] if lower else data
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
