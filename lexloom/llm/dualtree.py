@@ -74,7 +74,7 @@ def _products(left: Sparse, right_by_term: Sparse, columns: int, live: np.ndarra
         j = max(i + 1, int(np.searchsorted(upto, upto[i] + CELLS, "right")) - 1)
         at = np.arange(upto[i], upto[j]) + np.repeat(right_by_term.first[left.term[i:j]] - upto[i:j], many[i:j])
         cell = np.repeat(of[i:j] * columns, many[i:j]) + right_by_term.term[at]
-        value = np.repeat(left.value[i:j], many[i:j])
+        value = np.repeat(left.value[i:j], many[i:j]) * right_by_term.value[at]
         if live is not None:
             some = live.reshape(-1)[cell]
             cell, value = cell[some], value[some]
