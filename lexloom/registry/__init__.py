@@ -11,13 +11,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables whose rows are parsed or taken apart by queries.
+LARGE = ("documents", "pages", "orders", "conversations")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; files that Spark would read in fewer tasks than there are cores (one row group each) are dealt out."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    # The given text tables are files of one row group, which Spark reads in one task: deal them out.
-    return df.repartition(spark.sparkContext.defaultParallelism) if name in ("documents", "pages") else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df
 
 
 def all_queries() -> dict[str, Query]:

@@ -181,6 +181,24 @@ n AS (SELECT doc_id, text, 'CT' AS code, 'L. ' || o_custkey || '-1' AS raw, 'L'
 ORACLES["citations"] = f"{_CITES_SQL} SELECT doc_id, code, num, length(lead) AS start, length(lead) + length(raw) AS \"end\" FROM n"
 QUERIES["cited_articles"] = lambda spark, folder: cited_articles(_citing_texts(spark, folder), "doc_id", "text")
 ORACLES["cited_articles"] = f"{_CITES_SQL} SELECT doc_id, code, num FROM n"
+
+
+def cited_in_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Citations put into the middle and at the end of the given texts, of any length, with their places."""
+    d, half, key = table(spark, folder, "documents"), (F.length("text") / 2).cast("int"), F.col("doc_id").cast("string")
+    planted = F.concat(
+        F.substring("text", 1, half), F.lit(" vu les articles 5, alinéa 2, 7 et R. 9 du code civil, "), F.substring("text", half + 1, F.length("text")),
+        F.lit(" ; art. L. "), key, F.lit("-1 C. pr. civ. et l'article premier de la Constitution"))
+    return explode_citations(d.select("doc_id", planted.alias("text")), "doc_id", "text").select(
+        "doc_id", "code", "num", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+QUERIES["cited_in_documents"] = cited_in_documents
+ORACLES["cited_in_documents"] = """WITH t AS (SELECT doc_id, length(text) AS n, length(text) // 2 AS h, length(doc_id::VARCHAR) AS k FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 'CC' AS code, '5' AS num, h + 17 AS start, h + 18 AS "end" FROM t UNION ALL SELECT doc_id, 'CC', '7', h + 30, h + 31 FROM t
+UNION ALL SELECT doc_id, 'CC', 'R9', h + 35, h + 39 FROM t
+UNION ALL SELECT doc_id, 'CPC', 'L' || doc_id || '-1', n + 63, n + 68 + k FROM t
+UNION ALL SELECT doc_id, 'CONST', '1', n + 94 + k, n + 101 + k FROM t"""
 QUERIES["norm_mentions"] = lambda spark, folder: explode_norm_mentions(_citing_texts(spark, folder), "doc_id", "text")
 ORACLES["norm_mentions"] = """SELECT o_orderkey AS doc_id, 'LOI' AS kind, 'loi n° 2005-' || o_custkey AS mention FROM orders WHERE o_custkey >= 0
 UNION ALL SELECT o_orderkey, 'REG-EU', 'règlement (UE) 2016/' || (o_orderkey % 900 + 1) FROM orders"""
