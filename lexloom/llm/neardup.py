@@ -16,10 +16,8 @@ from lexloom.runtime import stage
 #: Minima kept of each; four make a band, and 4 low bits of each stay in the signature.
 MINIMA, BAND, BITS = 96, 4, 4
 LONGS = MINIMA * BITS // 64
-#: Least overlap with the hub of members that are compared by their differences from it.
-OUTER = 0.52
-#: Members of a hub's surroundings that are compared with as many others in one task.
-HUB_BLOCK = 512
+#: The work left for pairs, in marks read, at which buckets get no further hub: so many times the marks of all buckets.
+SPARE = 16
 SIGNATURE = ", ".join(f"s{i} long" for i in range(LONGS))
 
 
@@ -97,73 +95,23 @@ def likeness(a: str, b: str) -> Column:
 
 
 def _compare(words_per_shingle: int, percent: int) -> Callable:
-    """Whole sets of two texts: is their overlap enough, how large is it, and where does a differ from b?"""
+    """Pairs whose whole sets overlap enough."""
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "text_a", 1 << 20):
             a, x = _sets(words_per_shingle, *text_bytes(batch.column("text_a")))
             b, y = _sets(words_per_shingle, *text_bytes(batch.column("text_b")))
-            near, share, apart = [], [], []
+            near = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
                 p, q = a[x[i] : x[i + 1]], b[y[i] : y[i + 1]]
-                different = np.setxor1d(p, q, assume_unique=True)
-                common = (len(p) + len(q) - len(different)) // 2
-                union = len(p) + len(q) - common
-                near.append(bool(union) and 100 * common >= percent * union)
-                share.append(common / max(union, 1))
-                apart.append(different.tobytes() if share[-1] >= OUTER else b"")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(np.diff(x)), pa.array(near), pa.array(share), pa.array(apart, pa.binary())],
-                names=["a", "b", "size", "near", "share", "apart"])
+                if min(len(p), len(q)) * 100 < percent * max(len(p), len(q)) or not len(p):
+                    continue
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                near[i] = 100 * common >= percent * (len(p) + len(q) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], names=["a", "b"])
 
     return compare
 
 
-_PAIR = "a long, b long, size long, near boolean, share double, apart binary"
-
-
-def _around_hub(percent: int) -> Callable:
-    """Links between members of one hub's surroundings that join different components.
-
-    Two sets differ where exactly one of them differs from the hub, so their overlap follows from
-    these differences alone, which are much smaller than the sets.
-    """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def around(table: pa.Table) -> pa.Table:
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        size, component = table.column("size").to_numpy(), table.column("component").to_numpy()
-        apart = [np.frombuffer(x, np.uint64) for x in table.column("apart").to_pylist()]
-        length = np.array([len(x) for x in apart])
-        _, item, often = np.unique(np.concatenate(apart), return_inverse=True, return_counts=True)
-        row, shared = np.repeat(np.arange(len(node)), length), often[item] > 1
-        kinds, item = np.unique(item[shared], return_inverse=True)
-        marks = np.zeros((len(node), len(kinds)), np.float32)
-        marks[row[shared], item] = 1
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        out = []
-        for at in range(0, len(left), 256):
-            some = left[at : at + 256]
-            both = length[some][:, None] + length[right][None, :] - 2 * (marks[some] @ marks[right].T).astype(np.int64)
-            total = size[some][:, None] + size[right][None, :]
-            near = (100 * (total - both) >= percent * (total + both)) & (component[some][:, None] != component[right][None, :])
-            for i, j in zip(*np.nonzero(near)):
-                p, q = find(int(component[some[i]])), find(int(component[right[j]]))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    out.append((int(node[some[i]]), int(node[right[j]])))
-        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
-
-    return around
-
-
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     margin: float = 0.16) -> DataFrame:
     """Group documents whose shingle sets overlap by ``percent`` of their union: doc_id, n_shingles, component_id, kept.
@@ -176,71 +124,68 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     is compared on the whole sets.
 
     A bucket is not expanded into its pairs. Its hub is the member that meets most others over all
-    bands, the middle of a group of copies, and every member is compared with it. Members near a hub
-    (a share of ``OUTER``) that this leaves in different components are compared with each other by
-    their differences from the hub, in blocks, and only links that join components leave the task.
-    Members farther from their hub than ``OUTER`` less the distance of two linked sets are paired by
-    signature and confirmed. By the triangle inequality of the Jaccard distance no link falls
-    between the two: linked nodes are both in the hub's surroundings or both far from it.
+    bands, the middle of a group of copies, and every member is compared with it; links are joined to
+    components, and a bucket whose members all lie in one component is settled. Others get another hub from
+    outside the components of their hubs so far, as long as that finds links and the members left,
+    times their buckets' sizes, are more than ``SPARE`` times all marks. At last the members outside their
+    bucket's first component meet, by signature, those of other components. A bucket of many
+    members that are like each other, but less than asked, is thus compared pair by pair, by bit
+    counts and inside the join; only pairs near the threshold leave it.
 
     Rows that share an id are one document with the links of both. A null id has no component and
     is kept. Other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage(rows.mapInArrow(_signatures(words_per_shingle), f"doc_id long, n_shingles long, k1 long, k2 long, {SIGNATURE}, bands array<long>"), "minhash")
-    key = ["k1", "k2", "n_shingles"]
+    key, held = ["k1", "k2", "n_shingles"], [*[f"s{i}" for i in range(LONGS)], "bands"]
     filled = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes = stage(filled.groupBy(*key).agg(F.min("doc_id").alias("node")), "near-nodes")
-    same = signed.select("doc_id", *key).join(nodes, key)  # every document with its node
-    first = filled.join(nodes.select(F.col("node").alias("doc_id"), *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
-    first = stage(first.select(F.col("doc_id").alias("node"), *[f"s{i}" for i in range(LONGS)], "bands"), "near-signatures")
-
-    marks = first.select("node", F.explode("bands").alias("band"))
-    full = stage(marks.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-buckets")
-    marks = stage(marks.join(full, "band"), "near-marks")
-    degree = stage(marks.groupBy("node").agg(F.sum("n").alias("degree")), "near-degrees")
-    hubs = marks.join(degree, "node").groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("_minus"))).alias("_h"))
-    hubs = stage(hubs.select("band", (-F.col("_h._minus")).alias("hub")), "near-hubs")
-    marks = stage(marks.join(hubs, "band").select("band", "node", "hub"), "near-members")
-    stars = marks.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    signatures = first.drop("bands")
+    first = filled.groupBy(*key).agg(F.min(F.struct("doc_id", *held)).alias("_first"))
+    first = stage(first.select(*key, F.col("_first.doc_id").alias("node"), *[f"_first.{c}" for c in held]), "near-nodes")
+    signatures = first.drop("bands", *key)
     texts = rows.where("doc_id is not null")
 
-    def compared(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs (a, b) with what their documents' whole sets say."""
-        met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are likely by signature and near by their documents' whole sets."""
+        likely = pairs.distinct().join(signatures.alias("p"), F.col("a") == F.col("p.node")).join(
+            signatures.alias("q"), F.col("b") == F.col("q.node")).where(likeness("p", "q") >= percent / 100 - margin).select("a", "b")
+        met = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
             texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return stage(met.select("a", "b", "text_a", "text_b").mapInArrow(_compare(words_per_shingle, percent), _PAIR), name)
-
-    likely = stars.join(signatures.alias("p"), F.col("a") == F.col("p.node")).join(
-        signatures.alias("q"), F.col("b") == F.col("q.node")).where(likeness("p", "q") >= OUTER - margin).select("a", "b")
-    met = compared(stage(likely, "near-stars"), "near-compared")
-    links = met.where("near").select("a", "b")
-    parts = stage(components(links), "near-parts")
-
-    around = met.where(F.col("share") >= OUTER).select(F.col("b").alias("hub"), F.col("a").alias("node"), "size", "apart")
-    own = around.select("hub").distinct().join(nodes.select(F.col("node").alias("hub"), F.col("n_shingles").alias("size")), "hub").select(
-        "hub", F.col("hub").alias("node"), "size", F.lit(b"").alias("apart"))
-    around = stage(around.union(own).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-around")
-    split = around.groupBy("hub").agg(F.count("*").alias("n"), F.min("component").alias("_least"), F.max("component").alias("_most")).where(
-        "_least <> _most").select("hub", F.ceil(F.col("n") / HUB_BLOCK).alias("blocks"))
-    around = around.join(stage(split, "near-split"), "hub").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    cells = around.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "hub", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "node", "block", "size", "component", "apart")
-    late = stage(cells.groupBy("hub", "low", "high").applyInArrow(_around_hub(percent), "a long, b long"), "near-late")
-
-    close = met.where(F.col("share") >= OUTER + 1 - percent / 100).select(F.col("a").alias("node"), F.col("b").alias("hub"))
-    far = marks.where("node <> hub").join(close, ["node", "hub"], "left_anti").select("band", "node")
-    far = far.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")).join(signatures, "node")
-    far = stage(far, "near-far")
-    mixed = far.groupBy("band").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).where("_least <> _most").select("band")
-    far = stage(far.join(stage(mixed, "near-mixed"), "band"), "near-far-mixed")
-    rest = far.alias("p").join(far.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.component") != F.col("q.component"))
-                               & (F.col("p.node") < F.col("q.node")) & (likeness("p", "q") >= percent / 100 - margin))
-    rest = stage(rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), "near-rest")
-    links = links.union(late).union(compared(rest, "near-rest-compared").where("near").select("a", "b"))
-    shared = same.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    parts = components(links.union(shared))
-    return signed.select("doc_id", "n_shingles").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        return stage(met.select("a", "b", "text_a", "text_b").mapInArrow(_compare(words_per_shingle, percent), "a long, b long"), "near-links")
+
+    marks = first.select("node", F.explode("bands").alias("band"))
+    marks = marks.join(marks.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
+    marks = stage(marks.join(marks.groupBy("node").agg(F.sum("n").alias("degree")), "node").select("band", "node", "degree"), "near-marks")
+    all_marks, links, tried, settled, parts = marks.count(), None, None, 0, None
+    while True:
+        live = marks.withColumn("component", F.col("node")) if parts is None else marks.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if parts is not None:
+            bands = live.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("n")).where("_low <> _high")
+            live = stage(live.join(bands.select("band", "n"), "band"), "near-live")
+            done = tried.join(live.select("band", F.col("node").alias("hub"), "component"), ["band", "hub"])
+            left = live.join(done.select("band", "component").distinct(), ["band", "component"], "left_anti")
+            outside = live.join(done.where("turn = 0").select("band", F.col("component").alias("_first")), "band").where("component <> _first")
+            work = outside.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            found = links.count()
+            if work <= SPARE * all_marks or found == settled:
+                break
+            settled = found
+        else:
+            left = live
+        hubs = left.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("_minus"))).alias("_h")).select("band", (-F.col("_h._minus")).alias("hub"))
+        hubs = stage(hubs.withColumn("turn", F.lit(0 if tried is None else 1)), "near-hubs")
+        tried = hubs if tried is None else tried.union(hubs)
+        new = confirmed(live.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        links = new if links is None else links.union(new)
+        parts = stage(components(links), "near-parts")
+    p = outside.select("band", "node", "component").join(signatures, "node")
+    q = live.select("band", "node", "component").join(signatures, "node")
+    rest = p.alias("p").join(q.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.component") != F.col("q.component"))
+                             & (likeness("p", "q") >= percent / 100 - margin))
+    links = links.union(confirmed(rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))))
+    same = signed.select("doc_id", *key).join(first.select(*key, "node"), key, "left")
+    same = stage(same.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "near-documents")
+    # An id of several rows may have several nodes, which it links.
+    several = same.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_most")).where("a <> _most")
+    links = links.union(same.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
+    found = same.join(components(links), "node", "left").withColumn("component_id", F.coalesce("component", "node"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
