@@ -16,8 +16,8 @@ from lexloom.runtime import stage
 #: Minima kept of each; four make a band, and 4 low bits of each stay in the signature.
 MINIMA, BAND, BITS = 96, 4, 4
 LONGS = MINIMA * BITS // 64
-#: The work left for pairs, in marks read, at which buckets get no further hub: so many times the marks of all buckets.
-SPARE = 16
+#: Members of a hub's surroundings, and bytes of their sets, that meet as many others in one task; shingles counted at a time.
+BLOCK, BLOCK_BYTES, KINDS = 512, 16 << 20, 4096
 SIGNATURE = ", ".join(f"s{i} long" for i in range(LONGS))
 
 
@@ -112,6 +112,65 @@ def _compare(words_per_shingle: int, percent: int) -> Callable:
     return compare
 
 
+def _keep_sets(words_per_shingle: int) -> Callable:
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, "text"):
+            names, bounds = _sets(words_per_shingle, *text_bytes(batch.column("text")))
+            sets = [names[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "names"])
+
+    return keep
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many names each left set shares with each right one, KINDS names at a time."""
+    flat = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    kinds, item, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    row, item = row[counts[item] > 1], (np.cumsum(counts > 1) - 1)[item[counts[item] > 1]]
+    order = np.argsort(item, kind="stable")
+    row, item = row[order], item[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int((counts > 1).sum()), KINDS):
+        i, j = np.searchsorted(item, (first, first + KINDS))
+        marks = np.zeros((len(left) + len(right), KINDS), np.float32)
+        marks[row[i:j], item[i:j] - first] = 1
+        out += marks[: len(left)] @ marks[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _within(percent: int) -> Callable:
+    """Links between two blocks of one hub's surroundings that join different components."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def within(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        node, block, component = (table.column(c).to_numpy() for c in ("node", "block", "component"))
+        names = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        if len(left) and len(right) and len(np.unique(component)) > 1:
+            common = _common([names[i] for i in left], [names[i] for i in right])
+            size = np.array([len(x) for x in names])
+            union = size[left][:, None] + size[right][None, :] - common
+            near = (100 * common >= percent * union) & (component[left][:, None] != component[right][None, :])
+            for i, j in zip(*np.nonzero(near)):
+                p, q = find(int(component[left[i]])), find(int(component[right[j]]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((int(node[left[i]]), int(node[right[j]])))
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+
+    return within
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     margin: float = 0.16) -> DataFrame:
     """Group documents whose shingle sets overlap by ``percent`` of their union: doc_id, n_shingles, component_id, kept.
@@ -124,13 +183,12 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     is compared on the whole sets.
 
     A bucket is not expanded into its pairs. Its hub is the member that meets most others over all
-    bands, the middle of a group of copies, and every member is compared with it; links are joined to
-    components, and a bucket whose members all lie in one component is settled. Others get another hub from
-    outside the components of their hubs so far, as long as that finds links and the members left,
-    times their buckets' sizes, are more than ``SPARE`` times all marks. At last the members outside their
-    bucket's first component meet, by signature, those of other components. A bucket of many
-    members that are like each other, but less than asked, is thus compared pair by pair, by bit
-    counts and inside the join; only pairs near the threshold leave it.
+    bands, the middle of a group of copies, and every member is compared with it; links are joined
+    to components. A hub whose surroundings (the members of all its buckets) all lie in one component is
+    settled. The others' surroundings are dealt to blocks of bounded size, two of which meet in one
+    task on whole sets; only links that join components leave it. Members that are like each
+    other, but less than asked, are thus counted by blocks: the rows sent grow with the square of
+    the number of blocks, by ``BLOCK`` times less than the pairs.
 
     Rows that share an id are one document with the links of both. A null id has no component and
     is kept. Other columns are ignored; an empty table gives no rows.
@@ -155,33 +213,20 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     marks = first.select("node", F.explode("bands").alias("band"))
     marks = marks.join(marks.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
     marks = stage(marks.join(marks.groupBy("node").agg(F.sum("n").alias("degree")), "node").select("band", "node", "degree"), "near-marks")
-    all_marks, links, tried, settled, parts = marks.count(), None, None, 0, None
-    while True:
-        live = marks.withColumn("component", F.col("node")) if parts is None else marks.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        if parts is not None:
-            bands = live.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("n")).where("_low <> _high")
-            live = stage(live.join(bands.select("band", "n"), "band"), "near-live")
-            done = tried.join(live.select("band", F.col("node").alias("hub"), "component"), ["band", "hub"])
-            left = live.join(done.select("band", "component").distinct(), ["band", "component"], "left_anti")
-            outside = live.join(done.where("turn = 0").select("band", F.col("component").alias("_first")), "band").where("component <> _first")
-            work = outside.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-            found = links.count()
-            if work <= SPARE * all_marks or found == settled:
-                break
-            settled = found
-        else:
-            left = live
-        hubs = left.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("_minus"))).alias("_h")).select("band", (-F.col("_h._minus")).alias("hub"))
-        hubs = stage(hubs.withColumn("turn", F.lit(0 if tried is None else 1)), "near-hubs")
-        tried = hubs if tried is None else tried.union(hubs)
-        new = confirmed(live.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
-        links = new if links is None else links.union(new)
-        parts = stage(components(links), "near-parts")
-    p = outside.select("band", "node", "component").join(signatures, "node")
-    q = live.select("band", "node", "component").join(signatures, "node")
-    rest = p.alias("p").join(q.alias("q"), (F.col("p.band") == F.col("q.band")) & (F.col("p.component") != F.col("q.component"))
-                             & (likeness("p", "q") >= percent / 100 - margin))
-    links = links.union(confirmed(rest.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))))
+    hubs = marks.groupBy("band").agg(F.max(F.struct("degree", (-F.col("node")).alias("_minus"))).alias("_h")).select("band", (-F.col("_h._minus")).alias("hub"))
+    around = stage(marks.join(hubs, "band").select("hub", "node").distinct(), "near-around")
+    links = confirmed(around.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    around = around.join(components(links), "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
+    mixed = around.join(first.groupBy("node").agg(F.max("n_shingles").alias("n")), "node").groupBy("hub").agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("members"), F.sum("n").alias("names")).where("_low <> _high")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, 8 * F.col("names") / BLOCK_BYTES))
+    around = stage(around.join(mixed.select("hub", blocks.alias("blocks")), "hub"), "near-mixed").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    sets = texts.select(F.col("doc_id").alias("node"), "text").join(around.select("node").distinct(), "node", "left_semi")
+    sets = sets.mapInArrow(_keep_sets(words_per_shingle), "node long, names binary")
+    cells = around.withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "hub", F.least("block", "_with").alias("low"), F.greatest("block", "_with").alias("high"), "node", "block", "component")
+    late = cells.join(sets, "node").groupBy("hub", "low", "high").applyInArrow(_within(percent), "a long, b long")
+    links = links.union(stage(late, "near-late"))
     same = signed.select("doc_id", *key).join(first.select(*key, "node"), key, "left")
     same = stage(same.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "near-documents")
     # An id of several rows may have several nodes, which it links.
