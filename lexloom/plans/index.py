@@ -11,8 +11,6 @@ from lexloom.functions.text import words
 FIELD_GAP = 1 << 24
 # Term of the one row per document that restricted postings carry for its length.
 DOCUMENT_MARK = ""
-# Parts that the postings of one bucket are written in.
-SALTS = 4
 
 
 def _tokens(docs: DataFrame, id_col: str, fields: list[str], collection: str | None) -> DataFrame:
@@ -124,15 +122,14 @@ def marked_stats(posts: DataFrame) -> DataFrame:
 
 
 def write_postings(posts: DataFrame, table: str, buckets: int = 200) -> None:
-    """Persist postings laid out by term and a salt of the document, sorted by term.
+    """Persist postings bucketed and sorted by term.
 
-    The exchange before the write gives each bucket to ``SALTS`` tasks, so the number of files is
-    bounded by buckets times salts whatever the number of input tasks, and the postings of a very
-    common word are spread over that many files.
+    The rows are rebalanced by bucket before the write: adaptive execution cuts a bucket that a very
+    common word fills into tasks of the advisory size and joins small buckets to one task, so the
+    number of files follows the data: at most one for each bucket and cut.
     """
-    salted = posts.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    dealt = salted.repartition(buckets * SALTS, F.pmod(F.hash("term"), F.lit(buckets)), "_salt")
-    dealt.drop("_salt").write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
+    dealt = posts.withColumn("_bucket", F.pmod(F.hash("term"), F.lit(buckets))).hint("rebalance", F.col("_bucket"))
+    dealt.drop("_bucket").write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
 
 
 def read_postings(spark: SparkSession, table: str, terms: DataFrame | None = None) -> DataFrame:

@@ -70,7 +70,7 @@ def segments(col: Column | str) -> Column:
     bare = lambda s: F.replace(s, F.lit('"'), F.lit(""))
     return F.transform(raw, lambda s: F.struct(
         F.when(s.startswith('"'), "phrase").when(s.startswith("-") & (F.length(s) > 1), "neg").otherwise("term").alias("kind"),
-        F.when(s.startswith("-") & (F.length(s) > 1), F.substring(bare(s), 2, 10_000)).otherwise(bare(s)).alias("text"),
+        F.when(s.startswith("-") & (F.length(s) > 1), F.regexp_replace(bare(s), "^-", "")).otherwise(bare(s)).alias("text"),
     )).cast(_SEGMENTS)
 
 

@@ -25,10 +25,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    from lexloom.registry import changes, corpus, directory, feeds, references, retrieval, shelves, statutes
-    return {name: q for m in (statutes, retrieval, shelves, references, corpus, directory, changes, feeds) for name, q in m.QUERIES.items()}
+    from lexloom.registry import bulk, changes, corpus, directory, feeds, live, references, retrieval, shelves, statutes
+    return {name: q for m in (statutes, retrieval, shelves, references, corpus, directory, changes, feeds, bulk, live) for name, q in m.QUERIES.items()}
 
 
 def all_oracles() -> dict[str, str]:
-    from lexloom.registry import changes, corpus, directory, feeds, references, retrieval, shelves, statutes
-    return {name: q for m in (statutes, retrieval, shelves, references, corpus, directory, changes, feeds) for name, q in m.ORACLES.items()}
+    from lexloom.registry import bulk, changes, corpus, directory, feeds, live, references, retrieval, shelves, statutes
+    return {name: q for m in (statutes, retrieval, shelves, references, corpus, directory, changes, feeds, bulk, live) for name, q in m.ORACLES.items()}

@@ -89,6 +89,25 @@ def flatten_api_contacts(df: DataFrame) -> DataFrame:
         flatten_value("adresse", " | ").alias("adresse"), pivot_kind("pivot").alias("pivot_kind"))
 
 
+# Fields of a contact record.
+API_CONTACT = ["id", "nom", "sigle", "adresse_courriel", "telephone", "site_internet", "type_organisme", "hierarchie", "adresse", "pivot"]
+
+
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines as one VARIANT column ``v``: no schema, so a field may be text here and an object there."""
+    return spark.read.format("json").option("singleVariantColumn", "v").load(path)
+
+
+def read_api_contacts(spark: SparkSession, path: str) -> DataFrame:
+    """Contact records whose fields are a text, a list, an object, or one of them written as text, to flat rows.
+
+    Objects and lists of a VARIANT turn into JSON text, which is what their written form is already;
+    fields that a record lacks are null.
+    """
+    fields = [F.try_variant_get("v", f"$.{name}", "string").alias(name) for name in API_CONTACT]
+    return flatten_api_contacts(read_variants(spark, path).select(*fields))
+
+
 HIT = ("_source struct<Identification:string,Numero_ECLI:string,Code_Juridiction:string,Nom_Juridiction:string,"
        "Formation_Jugement:string,Numero_Dossier:string,Type_Decision:string,Date_Lecture:string,Code_Publication:string,"
        "lastModified:string,paragraph:string>")
@@ -117,6 +136,20 @@ COURT_DECISION = ("id string, type string, jurisdiction string, location string,
                   "summary string, themes array<string>, resume string, rapprochements array<string>, rapporteur string, publication array<string>, nature string")
 
 
+def read_court_api(spark: SparkSession, path: str) -> DataFrame:
+    """Decisions of the court API, for :func:`map_court_api`; a list field may be one text, or a list written as text."""
+    def field(name: str, kind: str) -> Column:
+        if not kind.startswith("array"):
+            return F.try_variant_get("v", f"$.{name}", kind).alias(name)
+        text = F.try_variant_get("v", f"$.{name}", "string")
+        written = F.try_variant_get(F.try_parse_json(text), "$", "array<string>")
+        listed = F.coalesce(F.try_variant_get("v", f"$.{name}", "array<string>"), written, F.when(text != "", F.array(text)))
+        return listed.alias(name)
+
+    kinds = [x.strip().split(" ", 1) for x in COURT_DECISION.split(",")]
+    return read_variants(spark, path).select(*[field(name, kind) for name, kind in kinds])
+
+
 def map_court_api(df: DataFrame, locations: DataFrame) -> DataFrame:
     """Decisions of the court API to enriched decision rows.
 

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from lexloom.functions.dates import clean_iso_date
 from lexloom.plans.index import write_postings  # noqa: F401  (index tables are a sink too)
 
-# Files that one year of a table is written in.
-YEAR_SALTS = 8
-
 
 def write_csv_sorted(df: DataFrame, path: str, *order, files: int | None = None) -> None:
     """`;`-delimited export in global order; the files' names follow that order."""
@@ -32,15 +29,16 @@ def write_json(df: DataFrame, path: str, meta: DataFrame | None = None) -> None:
 def write_table(df: DataFrame, path: str, date_col: str | None = "date", mode: str = "overwrite") -> None:
     """Collection table as Parquet, partitioned by year so that date filters prune folders.
 
-    The rows of a year are dealt to ``YEAR_SALTS`` tasks before the write, so a year has that many
-    files whatever the number of input tasks.
+    The rows are rebalanced by year before the write: adaptive execution cuts a year of many rows into
+    tasks of the advisory size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) and joins small
+    years to one task, so files follow the data and not the number of input tasks.
     """
     if date_col is None:
         df.write.mode(mode).parquet(path)
         return
     day = clean_iso_date(F.col(date_col).cast("string"))
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(YEAR_SALTS))
-    df.withColumn("year", F.coalesce(F.year(day), F.lit(0))).repartition("year", salt).write.mode(mode).partitionBy("year").parquet(path)
+    dated = df.withColumn("year", F.coalesce(F.year(day), F.lit(0)))
+    dated.hint("rebalance", F.col("year")).write.mode(mode).partitionBy("year").parquet(path)
 
 
 def freshness(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

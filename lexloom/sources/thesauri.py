@@ -18,40 +18,45 @@ def _code(uri: Column) -> Column:
     return F.regexp_extract(uri, r"([^/#]+)/?$", 1)
 
 
-def read_skos(spark: SparkSession, path: str, source: str, scope: str, lang: str = "fr") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Concepts, labels and relations of a SKOS file, in one language.
+def skos_triples(spark: SparkSession, path: str, lang: str = "fr") -> DataFrame:
+    """``code, predicate, at, object`` of every node of a SKOS file, typed or described; labels in one language.
 
-    Concepts occur as typed nodes or as descriptions with a type; both are read.
+    ``at`` numbers the values of one element of one node.
     """
-    typed = read_xml(spark, path, "skos:Concept", SKOS)
-    described = read_xml(spark, path, "rdf:Description", SKOS).where(F.exists(
-        "rdf:type", lambda t: t["_rdf:resource"].endswith("#Concept")))
-    nodes = typed.unionByName(described).where(F.col("`_rdf:about`").isNotNull()).withColumn("code", _code(F.col("`_rdf:about`")))
-    in_lang = lambda col: F.transform(
-        F.filter(F.col(f"`{col}`"), lambda x: F.coalesce(x["_xml:lang"], F.lit(lang)) == lang), lambda x: F.trim(x["_VALUE"]))
-    targets = lambda col: F.transform(F.col(f"`{col}`"), lambda x: _code(x["_rdf:resource"]))
-    base = nodes.select("code", in_lang("skos:prefLabel").alias("pref"), in_lang("skos:altLabel").alias("alt"),
-                        *[targets(f"skos:{r}").alias(r) for r in ("broader", "narrower", "related")])
-    known = base.where(F.size("pref") > 0)
-    concepts = known.select(F.lit(source).alias("source"), "code", F.get("pref", F.lit(0)).alias("label"),
-                            F.get("broader", F.lit(0)).alias("parent_code"), F.lit(None).cast("int").alias("depth"),
-                            F.lit(scope).alias("scope"), F.lit(0).cast("long").alias("freq"))
-    typed_labels = F.flatten(F.array(*[_tag(c) for c in ("pref", "alt")]))
-    labels = known.select(F.lit(source).alias("source"), "code", F.inline(typed_labels)).withColumn(
-        "label_normalized", fold_upper("label")).select("source", "code", "label", "label_normalized", "label_type")
-    edges = F.flatten(F.array(*[_edge(r) for r in ("broader", "narrower", "related")]))
-    relations = known.select(F.lit(source).alias("source"), F.col("code").alias("src_code"), F.inline(edges))
-    return concepts, labels, relations
-
+    typed = read_xml(spark, path, "skos:Concept", SKOS).withColumn("_concept", F.lit(True))
+    concept = F.coalesce(F.exists("rdf:type", lambda t: t["_rdf:resource"].endswith("#Concept")), F.lit(False))
+    described = read_xml(spark, path, "rdf:Description", SKOS).withColumn("_concept", concept)
+    said = []
+    for name in ("pref", "alt"):
+        own = F.filter(F.col(f"`skos:{name}Label`"), lambda x: F.coalesce(x["_xml:lang"], F.lit(lang)) == lang)
+        said.append((name, F.transform(own, lambda x: F.trim(x["_VALUE"]))))
+    for name in ("broader", "narrower", "related"):
+        said.append((name, F.transform(F.col(f"`skos:{name}`"), lambda x: _code(x["_rdf:resource"]))))
+    said.append(("type", F.when(F.col("_concept"), F.array(F.lit("Concept")))))
+    rows = F.concat(*[F.coalesce(F.transform(values, lambda x, i: F.struct(F.lit(name).alias("predicate"), i.alias("at"), x.alias("object"))),
+                                 F.array().cast("array<struct<predicate:string,at:int,object:string>>")) for name, values in said])
+    nodes = typed.unionByName(described).where(F.col("`_rdf:about`").isNotNull())
+    return nodes.select(_code(F.col("`_rdf:about`")).alias("code"), F.inline(rows)).where("object <> ''")
 
-def _tag(col: str) -> Column:
-    return F.transform(F.coalesce(F.col(col), F.array().cast("array<string>")),
-                       lambda x: F.struct(x.alias("label"), F.lit(col).alias("label_type")))
 
+def read_skos(spark: SparkSession, path: str, source: str, scope: str, lang: str = "fr") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Concepts, labels and relations of a SKOS file, in one language.
 
-def _edge(col: str) -> Column:
-    return F.transform(F.coalesce(F.col(col), F.array().cast("array<string>")),
-                       lambda x: F.struct(x.alias("dst_code"), F.lit(col).alias("rel_type")))
+    What is said of a concept may be spread over several nodes, typed ones and descriptions; all meet
+    as triples of their subject. A subject counts if any node says that it is a concept and any gives a preferred label.
+    """
+    said = skos_triples(spark, path, lang)
+    order = F.struct("at", "object")
+    pivoted = said.groupBy("code").pivot("predicate", ["type", "pref", "broader"]).agg(F.min_by("object", order))
+    known = pivoted.where("type is not null and pref is not null")
+    concepts = known.select(F.lit(source).alias("source"), "code", F.col("pref").alias("label"), F.col("broader").alias("parent_code"),
+                            F.lit(None).cast("int").alias("depth"), F.lit(scope).alias("scope"), F.lit(0).cast("long").alias("freq"))
+    told = said.join(known.select("code"), "code").select(F.lit(source).alias("source"), "code", "predicate", "object").distinct()
+    labels = told.where(F.col("predicate").isin("pref", "alt")).select(
+        "source", "code", F.col("object").alias("label"), fold_upper("object").alias("label_normalized"), F.col("predicate").alias("label_type"))
+    relations = told.where(F.col("predicate").isin("broader", "narrower", "related")).select(
+        "source", F.col("code").alias("src_code"), F.col("object").alias("dst_code"), F.col("predicate").alias("rel_type"))
+    return concepts, labels, relations
 
 
 def themes_flat(df: DataFrame, source: str, text_col: str = "value", prefix: str = "jc", scope: str = "judiciaire") -> DataFrame:

@@ -29,6 +29,13 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str, stream:
     return reader.load(path).withColumn("_path", F.col("_metadata.file_path"))
 
 
+def read_broken(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
+    """``_path, record, parsed`` of the records of one tag that cannot be parsed whole: the text, and as JSON what was read of it."""
+    rows = read_xml(spark, path, row_tag, f"{schema}, _corrupt_record string")
+    fields = [c for c in rows.columns if c not in ("_path", "_corrupt_record")]
+    return rows.where(F.col("_corrupt_record").isNotNull()).select("_path", F.col("_corrupt_record").alias("record"), F.to_json(F.struct(*fields)).alias("parsed"))
+
+
 def _s(col: str | Column) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     return F.coalesce(F.trim(col), F.lit(""))

@@ -52,14 +52,15 @@ CHANGE = "seq long, tx_id string, id string, op string, ts timestamp"
 
 
 def stream_change_log(spark: SparkSession, path: str, row_schema: str, target: ChangeTable, checkpoint: str,
-                      id_source: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+                      id_source: Callable[[], DataFrame] | None = None, files_per_trigger: int | None = None) -> StreamingQuery:
     """Transaction log whose pages overlap. Entries are ordered by their number, so repeats change
     nothing and an entry that arrives late, however late, still counts.
 
     ``row_schema`` adds the content columns. With ``id_source`` a re-issued decision keeps the
     id it is already known under.
     """
-    log = spark.readStream.schema(f"{CHANGE}, {row_schema}").json(path)
+    reader = spark.readStream.schema(f"{CHANGE}, {row_schema}")
+    log = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).json(path)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         changes = stable_id(batch, id_source()) if id_source else batch
@@ -102,7 +103,8 @@ def usage_counters(spark: SparkSession, path: str, schema: str, target: ChangeTa
     """Usage counters kept current from a stream of events.
 
     Update mode emits the new count of every touched bucket; the sink replaces it, so a retried
-    batch writes the same values.
+    batch writes the same values. An event that is more than ``late`` older than the newest one of earlier
+    batches is not counted any more: this bounds the counts that are kept open.
     """
     events = spark.readStream.schema(schema).format(fmt).load(path)
     typed = events.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, late)

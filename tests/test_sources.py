@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from lexloom.plans import index
 from lexloom.sources import html, records, sinks, thesauri, xml
 
 ARTICLE = """<?xml version="1.0" encoding="UTF-8"?>
@@ -39,6 +40,27 @@ def test_statutes(spark, tmp_path):
     assert row.texte == "Sont nécessaires : 1° Le consentement" and row.nota == "Voir &c."
 
 
+def test_broken_records_are_listed(spark, tmp_path):
+    put(tmp_path, "a.xml", ARTICLE)
+    path = put(tmp_path, "b.xml", "<F><ARTICLE><META><META_COMMUN><ID>X</ID></META></META_COMMUN></ARTICLE></F>")
+    row, = xml.read_broken(spark, path, "ARTICLE", xml.STATUTE_ARTICLE).collect()
+    assert row._path.endswith("b.xml") and "<ID>X</ID>" in row.record
+    assert xml.read_statutes(spark, path).count() == 1
+
+
+def test_fields_that_drift(spark, tmp_path):
+    """The same field as text, list, object, list written as text, number, null, or missing."""
+    lines = [{"id": "1", "nom": "n", "adresse_courriel": ["a@x", None], "telephone": {"valeur": "01"}}, {"id": 2, "nom": "n", "adresse_courriel": '["b@x"]', "telephone": 3},
+             {"id": "3", "nom": None, "adresse_courriel": "c@x", "telephone": None, "pivot": "{"}, {"id": "4", "adresse_courriel": None}, {"id": "5"}]
+    path = put(tmp_path / "c", "c.json", "\n".join(json.dumps(x) for x in lines))
+    got = {r.id: (r.mails, r.telephone, r.pivot_kind) for r in records.read_api_contacts(spark, path).collect()}
+    assert got == {"1": (["a@x"], "01", "chapeau"), "2": (["b@x"], "3", "chapeau"), "3": (["c@x"], "", "autre")}
+    lines = [{"id": "1", "themes": ["a", "b"]}, {"id": "2", "themes": "a"}, {"id": "3", "themes": '["a","b"]'}, {"id": "4", "themes": None}, {"id": "5", "number": 7}]
+    path = put(tmp_path / "d", "d.json", "\n".join(json.dumps(x) for x in lines))
+    rows = {r.id: r for r in records.read_court_api(spark, path).collect()}
+    assert [rows[str(i)].themes for i in range(1, 6)] == [["a", "b"], ["a"], ["a", "b"], None, None] and rows["5"].number == "7"
+
+
 def test_statute_texts_gazette_agreements_deliberations(spark, tmp_path):
     meta = "<META><META_COMMUN><ID>{id}</ID><NATURE>LOI</NATURE></META_COMMUN><META_SPEC>{spec}</META_SPEC></META>"
     chron = "<META_TEXTE_CHRONICLE><TITRE>T</TITRE><NOR>N1</NOR><DATE_PUBLI>2020-01-01</DATE_PUBLI><DATE_TEXTE>2019-12-31</DATE_TEXTE></META_TEXTE_CHRONICLE>"
@@ -160,6 +182,36 @@ def test_thesaurus_sources(spark, tmp_path):
     assert sorted((r.code, r.depth, r.parent_code) for r in tree.collect()) == [("10", 1, None), ("10.1", 2, "10")] and edges.count() == 1
 
 
+def test_what_is_said_of_a_concept_meets(spark, tmp_path):
+    split = """<rdf:RDF xmlns:rdf="r" xmlns:skos="s"><skos:Concept rdf:about="http://x/1"><skos:altLabel xml:lang="fr">b</skos:altLabel></skos:Concept>
+<rdf:Description rdf:about="http://x/1"><skos:prefLabel xml:lang="fr">a</skos:prefLabel><skos:related rdf:resource="http://x/2"/></rdf:Description>
+<rdf:Description rdf:about="http://x/2"><skos:prefLabel xml:lang="fr">c</skos:prefLabel></rdf:Description></rdf:RDF>"""
+    concepts, labels, relations = thesauri.read_skos(spark, put(tmp_path, "s.rdf", split), "e", "all")
+    assert [(r.code, r.label) for r in concepts.collect()] == [("1", "a")]
+    assert sorted((r.label, r.label_type) for r in labels.collect()) == [("a", "pref"), ("b", "alt")]
+    assert [(r.dst_code, r.rel_type) for r in relations.collect()] == [("2", "related")]
+
+
+def test_files_follow_the_data(spark, tmp_path):
+    """One year with nearly all rows is cut by the advisory size; small years share a task."""
+    advisory = 64 << 10
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    try:
+        rows = spark.range(0, 60_000, 1, 200).select(F.sha2(F.col("id").cast("string"), 256).alias("v"), F.when(F.col("id") % 100 > 0, "2020-05-01").otherwise(
+            F.concat((2000 + F.col("id") / 100 % 19).cast("int").cast("string"), F.lit("-01-01"))).alias("date"))
+        sinks.write_table(rows, str(tmp_path / "t"))
+        files = {year: list((tmp_path / "t" / f"year={year}").glob("*.parquet")) for year in (2003, 2020)}
+        shuffled = 60_000 * 100
+        assert shuffled / advisory / 3 < len(files[2020]) < 2 * shuffled / advisory and len(files[2003]) == 1
+        words = rows.select(F.lit("d").alias("collection"), F.when(F.col("date") == "2020-05-01", "le").otherwise(F.col("v")).alias("term"), F.col("v").alias("doc_id"), F.lit(1).alias("tf"))
+        index.write_postings(words, "postings_of_one_word", 4)
+        stored = index.read_postings(spark, "postings_of_one_word")
+        hot = stored.where("term = 'le'").select(F.input_file_name().alias("f")).distinct().count()
+        assert hot > 20 and stored.count() == 60_000 and len(stored.inputFiles()) <= 4 * (hot + 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("b", ["x", "y"], "2020-05-01"), ("a", [], "bad")], "id string, l array<string>, date string")
     sinks.write_csv_sorted(df, str(tmp_path / "c"), "id")

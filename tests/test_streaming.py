@@ -35,6 +35,27 @@ def test_change_table_is_idempotent(spark, tmp_path):
     assert sorted((r.id, r.v) for r in folded.read().collect()) == [("a", "1"), ("c", "1")]
 
 
+def test_folds_change_nothing(spark, tmp_path):
+    """Reads before, during (the base written, the note not) and after a fold agree; older changes still lose after it."""
+    table = ChangeTable(spark, str(tmp_path / "t"), "id string, v string", "id")
+    table.create(spark.createDataFrame([("a", "0"), ("b", "0"), ("z", "0")], "id string, v string"))
+    change = lambda rows: spark.createDataFrame(rows, "id string, v string, seq long, op string")
+    state = lambda: sorted((r.id, r.v) for r in table.read().collect())
+    table.append(change([("a", "5", 5, "modify"), ("b", None, 6, "delete")]), 0)
+    table.append(change([("c", "3", 3, "create")]), 1)
+    before = state()
+    assert before == [("a", "5"), ("c", "3"), ("z", "0")]
+    (tmp_path / "t" / "folded" / "upto-1" / "base").mkdir(parents=True)  # a fold that never came to its note
+    assert state() == before
+    table.fold(1)
+    assert state() == before
+    table.append(change([("a", "old", 4, "modify"), ("b", "old", 1, "modify"), ("c", "9", 9, "modify")]), 2)
+    assert state() == [("a", "5"), ("c", "9"), ("z", "0")]
+    table.fold(2)
+    table.append(change([("c", "8", 8, "modify"), ("b", "new", 10, "create")]), 3)
+    assert state() == [("a", "5"), ("b", "new"), ("c", "9"), ("z", "0")]
+
+
 def test_delta_files(spark, tmp_path):
     old, new = time.time() - 1000, time.time()
     put(tmp_path / "in", "1.xml", ARTICLE.format(id="L1", text="un"), old)
