@@ -88,12 +88,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed documents themselves: every row as often as ``mix`` takes it, with all its columns.
 
-    The rows are written once with a number each, by which they are met again, so repeated rows and
-    rows without an id are decided and counted each. Of rows equal in id, source and size those
+    The rows are written once, each as one struct with a number by which it is met again, so repeated
+    rows and rows without an id are decided and counted each, and columns may have any names. Of rows equal in id, source and size those
     with the lower hash of the text come first.
     """
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    marked = numbered.withColumn("_mark", F.xxhash64(text_col))
-    taken = mix(marked, id_col, text_col, source_col, numbers=["_mark", "_row"], **options).where("taken > 0").select(
-        "_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    numbered = stage(docs.select(F.struct("*").alias("held"), F.monotonically_increasing_id().alias("row")), "mix-rows")
+    held = F.col("held")
+    marked = numbered.select("row", held[id_col].alias("doc_id"), held[text_col].alias("text"), held[source_col].alias("source"), F.xxhash64(held[text_col]).alias("mark"))
+    taken = mix(marked, numbers=["mark", "row"], **options).where("taken > 0").select("row", (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    return numbered.join(taken, "row").select("held", F.explode(F.sequence(F.lit(1), F.col("times")))).select("held.*")

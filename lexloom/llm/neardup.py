@@ -234,3 +234,19 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     links = links.union(same.join(several, "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
     found = same.join(components(links), "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each group of near duplicates the row with the smallest id, with all its columns.
+
+    Every row counts by itself, under a number of its own: of rows that share an id those stay that
+    are not near one another, and rows without an id are linked as others are, but stay only if no
+    row of their group has an id. Rows are written once, each as one struct, so columns may have any names.
+    """
+    numbered = stage(docs.select(F.struct("*").alias("held"), F.monotonically_increasing_id().alias("row")), "near-rows")
+    texts = numbered.select("row", F.col("held")[text_col].alias("text"))
+    grouped = near_duplicates(texts, words_per_shingle, percent, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row"))
+    ids = numbered.select("row", F.col("held")[id_col].alias("id"))
+    kept = grouped.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select("first.row")
+    return numbered.join(kept, "row", "left_semi").select("held.*")

@@ -126,8 +126,9 @@ def search_top(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
     """The k highest integer inner products for each row whose id is divisible by ``every``.
 
     Components become floor(scale * x). Rows are candidates for every query but those of their own
-    id. Vectors that are null, hold null or non-finite components, or are not of the most frequent
-    length (the greater in a tie) take no part, nor do null ids. A repeated row is a candidate each
+    id. Vectors that are null, empty or hold null or non-finite components take no part, nor do null
+    ids. An inner product needs equal lengths: vectors are searched among those of their own length,
+    one length after another (few are expected). A repeated row is a candidate each
     time and one query; different vectors of one id are queries of their own. Ties go to the
     smaller id. Returns query_id, rank (from 1), vec_id and score; fewer than k where there are
     fewer candidates. Other columns are ignored; an empty table gives no rows.
@@ -141,11 +142,15 @@ def search_top(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("_x")).where(F.col("vec_id").isNotNull() & F.col("_x").isNotNull())
     rows = rows.where(F.coalesce(F.forall("_x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)))
     rows = stage(rows.select("vec_id", F.transform("_x", lambda c: F.floor(c.cast("double") * scale)).alias("v")), "search-rows")
-    usual = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
-    if usual is None or not usual["dim"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim = usual["dim"]
-    rows = rows.where(F.size("v") == dim).withColumn("query", F.pmod("vec_id", F.lit(every)) == 0)
+    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect() if r[0])
+    out = None
+    for dim in lengths:
+        found = _search_length(rows.where(F.size("v") == dim).withColumn("query", F.pmod("vec_id", F.lit(every)) == 0), dim, k, pivots)
+        out = found if out is None else out.union(found)
+    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def _search_length(rows: DataFrame, dim: int, k: int, pivots: int) -> DataFrame:
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, c: a + c * c)
     n, n_queries, longest = rows.agg(F.count("*"), F.count_if("query"), F.max(square)).first()
     probes = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(PROBE_ROWS).select("vec_id", "v").collect()

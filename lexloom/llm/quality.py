@@ -8,14 +8,15 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom.llm.sampling import bounded_sample, held_out
 from lexloom.llm.words import owners, portions, split_words, text_bytes
 
 PASSAGE = 64
-#: Labelled documents of each class that the model is fitted on, and passages of one such document, at most.
-PER_CLASS, TRAINED_PASSAGES = 3000, 16
+#: Labelled documents of each class that the model is fitted on, and passages of all of them together, at most; one document may be longer.
+PER_CLASS, CLASS_PASSAGES = 3000, 60_000
 HIDDEN, STEPS, RATE, SEED = 16, 300, 0.02, 11
 LEAST = 0.3
 # Classes of bytes: lower, upper, digit, space, line end, full stop or comma, quote or bracket, other marks, beyond ASCII, control.
@@ -79,10 +80,7 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches, "text"):
         features, bounds = passage_features(*text_bytes(batch.column("text")))
-        bags = []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            step = np.arange(a, b) if b - a <= TRAINED_PASSAGES else np.linspace(a, b - 1, TRAINED_PASSAGES).astype(int)
-            bags.append(features[step].astype(np.float32).tobytes())
+        bags = [features[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
 
 
@@ -132,11 +130,12 @@ def train(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> QualityModel
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        per_class: int = PER_CLASS) -> QualityModel:
+        per_class: int = PER_CLASS, class_passages: int = CLASS_PASSAGES) -> QualityModel:
     """Learn from labelled documents that are not held out, at most ``per_class`` of each label.
 
-    A training document of more than ``TRAINED_PASSAGES`` passages gives that many, evenly spaced;
-    scoring always takes all. Several labels of a document count as their majority, good in a tie;
+    A training document gives all its passages. Documents are taken in the order of a hash of their
+    id as long as their label's passages come to at most ``class_passages``, so where texts are long
+    fewer documents are learnt from, never parts of them. Several labels of a document count as their majority, good in a tie;
     null labels do not count. Without any labelled document every score is 1/2.
     """
     judged = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("quality")).where(
@@ -144,6 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         (F.avg("quality") >= 0.5).cast("int").alias("quality"))
     chosen = F.broadcast(bounded_sample(judged, "quality", per_class))  # bounded by twice per_class rows
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
+    # One label has at most per_class ids here, so a running sum over its rows is bounded.
+    size = F.greatest(F.ceil(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) / PASSAGE), F.lit(1))
+    sized = rows.groupBy("doc_id", "quality").agg(F.sum(size).alias("size"))
+    turn = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    upto = F.sum("size").over(turn.rowsBetween(W.unboundedPreceding, 0))
+    fits = sized.withColumns({"upto": upto, "turn": F.row_number().over(turn)}).where((F.col("upto") <= class_passages) | (F.col("turn") == 1))
+    rows = rows.join(F.broadcast(fits.select("doc_id")), "doc_id")  # bounded as above
     found = rows.mapInArrow(_features, "doc_id long, quality int, bag binary").orderBy("doc_id").collect()
     if not found:
         return QualityModel(np.zeros(FEATURES), np.ones(FEATURES), {})
