@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm.mixing import mix_rows
-from lexloom.llm.neardup import near_duplicates
+from lexloom.llm.neardup import keep_one
 from lexloom.llm.packing import pack_documents
 from lexloom.llm.quality import fit, keep_good
 from lexloom.llm.recompress import remove_repeats
@@ -23,17 +23,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near duplicates (five words, similarity 0.8) stays.
-
-    Every row counts by itself, under a number of its own: of rows that share an id those stay that
-    are not near one another, and rows without an id are linked as others are, but stay only if no
-    row of their group has an id.
-    """
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    grouped = near_duplicates(numbered, words_per_shingle=5, percent=80, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("_last"), "doc_id", "_row"))
-    kept = grouped.join(numbered.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("_first")).select("_first._row")
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    """The row with the smallest id of each group of near duplicates (five words, similarity 0.8) stays."""
+    return keep_one(docs, words_per_shingle=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
