@@ -92,7 +92,7 @@ def test_written_index(spark):
     assert index.read_postings(spark, "lexloom_test_postings", terms).count() == 2
     files = spark.table("lexloom_test_postings").inputFiles()
     index.write_postings(index.postings(docs.repartition(50), "doc_id", ["text"], "d"), "lexloom_test_postings", 4)
-    assert len(files) <= 4 * index.SALTS and len(spark.table("lexloom_test_postings").inputFiles()) <= 4 * index.SALTS
+    assert len(files) <= 4 and len(spark.table("lexloom_test_postings").inputFiles()) <= 4  # little data: one file a bucket, however many input tasks
     spark.sql("drop table lexloom_test_postings")
 
 
