@@ -1,15 +1,16 @@
 """Repeated passages across documents, found by recompression and removed.
 
-Equal words, runs and pairs get equal names everywhere, because a name is a hash of what it
-stands for; so naming needs no exchange between tasks. Two rounds are applied: equal neighbours
-merge into a run, and then a left symbol merges with a right symbol behind it, where a bit of the
-name tells left from right. A border between two words survives none, one or both rounds, and
-which depends on three words on either side only: inside equal passages the same borders survive.
-
-A window is represented by its highest surviving border (the least name among equals), that is by
-a block of six words around it. Equal windows have equal representatives, so a window can only
-repeat if its representative does. Shared representatives are counted first; only the windows that
-have one are then named as a whole and compared, with the smallest document of each.
+The words of all texts are rewritten in rounds. In each round equal neighbours merge into a run and
+then a left symbol merges with a right symbol behind it, where a bit of the name tells left from
+right; a merged symbol takes a new name. A name is a hash of what it stands for, so equal runs and
+pairs have equal names everywhere and naming needs no exchange between tasks. Each symbol knows
+the words that decide it: wherever these words stand, the same symbol stands.
+
+A window is represented by symbols of the last round that its own words decide: by the chain of
+three neighbours with the least name, or of two, or by one. Windows that decide no symbol (parts
+of a longer run, say) represent themselves. Equal windows have equal representatives, so a window
+can only repeat if its representative does. Shared representatives are counted first; only the
+windows that have one are then named as a whole and compared, with the smallest document of each.
 """
 
 from __future__ import annotations
@@ -29,13 +30,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lexloom.llm.words import Words, join_names, mix64, owners, split_words, text_bytes
 
 WINDOW = 13
+#: Rounds of merging, and how many neighbouring symbols of the last round represent a window.
+ROUNDS = 2
+CHAIN = 3
 #: Text bytes of the documents that one task holds at a time.
 GROUP_BYTES = 4 << 20
 #: Text bytes of a group for each bucket that its names are dealt to: about 16 names go together.
 BUCKET_BYTES = 512
+#: Groups for each bucket at most, which bounds a bucket for a corpus of any size.
+BUCKET_GROUPS = 4
 MESSAGE = "g long, bucket long, kind int, names binary, more binary, docs binary"
 
 
+class Symbols(NamedTuple):
+    name: np.ndarray
+    low: np.ndarray  # the words low:high decide that the symbol is there
+    high: np.ndarray
+
+
 class Parsed(NamedTuple):
     words: Words
     ids: np.ndarray
@@ -49,29 +61,63 @@ def _is_left(names: np.ndarray, turn: int) -> np.ndarray:
     return (mix64(names ^ np.uint64(turn * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) & np.uint64(1)).astype(bool)
 
 
-def _representatives(names: np.ndarray) -> np.ndarray:
-    """For each run of WINDOW words the name of its representative."""
-    n = len(names)
-    before = [names[2 - k : n - 3 - k] for k in range(3)]  # the words in front of a border, nearest first
-    behind = [names[3 + k : n - 2 + k] for k in range(3)]
-    left = _is_left(names, 1)
-    left_before = [left[2 - k : n - 3 - k] for k in range(3)]
-    left_behind = [left[3 + k : n - 2 + k] for k in range(3)]
-    first = (before[0] == behind[0]) | (left_before[0] & ~left_behind[0])
+def _round(symbols: Symbols, turn: int) -> Symbols:
+    """One round: equal neighbours merge into a run, then a left symbol and the right symbol behind it into a pair.
 
-    run = before[1] == before[0]  # look past a run for what it may be paired with, as far as the block goes
-    paired = np.where(run, (before[2] != before[0]) & left_before[2], left_before[1]) & ~left_before[0]
-    ending = np.where(paired, join_names(np.where(run, before[2], before[1]), before[0]), before[0])
-    run = behind[1] == behind[0]
-    paired = np.where(run, (behind[2] != behind[0]) & ~left_behind[2], ~left_behind[1]) & left_behind[0]
-    opening = np.where(paired, join_names(behind[0], np.where(run, behind[2], behind[1])), behind[0])
-    second = (ending == opening) | (_is_left(ending, 2) & ~_is_left(opening, 2))
-
-    block = join_names(join_names(join_names(before[2], before[1]), before[0]), join_names(join_names(behind[0], behind[1]), behind[2]))
-    rank = np.where(first, np.uint64(2), np.where(second, np.uint64(1), np.uint64(0))) << np.uint64(62) | block >> np.uint64(2)
-    for k in (1, 2, 4):  # the least of eight borders: those whose block lies inside the window
-        rank = np.minimum(rank[:-k], rank[k:])
-    return mix64(rank)
+    What becomes of a symbol depends on its neighbours only, so the words that decide a merged
+    symbol are those that decide its parts and the symbol on either side. At the ends of the words
+    there is no such symbol; what stands there is decided by no window.
+    """
+    name, n = symbols.name, len(symbols.name)
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    length = np.diff(np.append(first, n))
+    base = name[first]
+    run = np.where(length > 1, join_names(base, length.astype(np.uint64)), base)
+    left = _is_left(base, turn)
+    begins = np.concatenate([[True], ~(left[:-1] & ~left[1:])])
+    at = np.flatnonzero(begins)
+    upto = np.append(at[1:], len(first))
+    merged = np.where(upto - at > 1, join_names(run[at], run[upto - 1]), run[at])
+    before, behind = first[at] - 1, np.append(first, n)[upto]
+    low = np.where(before >= 0, symbols.low[before], -1)
+    high = np.where(behind < n, symbols.high[np.minimum(behind, n - 1)], symbols.high[-1] + 1)
+    return Symbols(merged, low, high)
+
+
+def _least(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Least value of each range, none of which is empty or longer than a window."""
+    out, size, width = np.empty(len(begin), np.uint64), end - begin, 1
+    while True:
+        these = np.flatnonzero((size >= width) & (size < 2 * width))
+        out[these] = np.minimum(values[begin[these]], values[end[these] - width])
+        if 2 * width > WINDOW or len(values) <= width:
+            return out
+        values, width = np.minimum(values[:-width], values[width:]), 2 * width
+
+
+def _representatives(names: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each window the name of its representative."""
+    symbols = Symbols(names, np.arange(len(names)), np.arange(1, len(names) + 1))
+    for turn in range(1, ROUNDS + 1):
+        symbols = _round(symbols, turn)
+    shape, open_ = np.empty(len(start), np.uint64), np.arange(len(start))
+    for count in range(CHAIN, 0, -1):
+        chains = len(symbols.name) - count + 1
+        if chains < 1:
+            continue
+        chain = symbols.name[:chains]
+        for k in range(1, count):
+            chain = join_names(chain, symbols.name[k : chains + k])
+        begin = np.searchsorted(symbols.low[:chains], start[open_], "left")
+        end = np.searchsorted(symbols.high[count - 1 :], start[open_] + WINDOW, "right")
+        inside = end > begin
+        shape[open_[inside]] = mix64(_least(chain, begin[inside], end[inside]) + np.uint64(count))
+        open_ = open_[~inside]
+    whole = names[start[open_]]
+    for k in range(1, WINDOW):
+        whole = join_names(whole, names[start[open_] + k])
+    shape[open_] = whole
+    return shape
 
 
 def _parse(table: pa.Table) -> Parsed:
@@ -82,7 +128,7 @@ def _parse(table: pa.Table) -> Parsed:
     per_text = np.where(known, np.maximum(np.diff(words.first) - WINDOW + 1, 0), 0)
     text = np.repeat(np.arange(len(ids)), per_text)
     start = np.arange(len(text)) + np.repeat(words.first[:-1] - (np.cumsum(per_text) - per_text), per_text)
-    shape = _representatives(words.name)[start] if len(start) else np.zeros(0, np.uint64)
+    shape = _representatives(words.name, start) if len(start) else np.zeros(0, np.uint64)
     return Parsed(words, ids, known, start, text, shape)
 
 
@@ -273,7 +319,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Returns doc_id, n_words, n_removed and kept_sha256 (of the words that stay, joined by one
     space), with ``with_text`` the text that is left, and the columns named in ``others`` as one
     struct of that name. Windows are judged on the input. Documents are dealt to groups of about ``group_bytes`` text by a hash
-    of their id; a group tells each of its distinct representatives once, however many of its
+    of their id and text; a group tells each of its distinct representatives once, however many of its
     documents have it, so a passage that a third of all documents share is told once a group. An
     answer is one bit for each name asked. All three passes read one shuffle of the texts.
 
@@ -283,8 +329,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     groups = max(1, -(-size // group_bytes))
-    buckets = max(1, min(groups, group_bytes // BUCKET_BYTES))
-    spread = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col)))
+    buckets = max(1, min(groups, max(group_bytes // BUCKET_BYTES, groups // BUCKET_GROUPS)))
+    spread = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     dealt = docs.select(F.pmod(spread, F.lit(groups)).alias("g"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                         *([F.struct(*[F.col(c) for c in others]).alias("others")] if others else []))
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),

@@ -108,6 +108,45 @@ def test_repeats_with_runs(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_repeats(rows)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), min_size=13, max_size=40), st.lists(st.integers(0, 3), max_size=40))
+def test_equal_windows_have_equal_representatives(before, passage, behind):
+    def represented(words):
+        names = np.array([0x9E3779B97F4A7C15 * (w + 1) & 0xFFFFFFFFFFFFFFFF for w in words], np.uint64)
+        return recompress._representatives(names, np.arange(len(words) - 12))
+
+    alone, inside = represented(passage), represented(before + passage + behind)
+    assert alone.tolist() == inside[len(before) : len(before) + len(passage) - 12].tolist()
+    assert represented(behind + passage + before)[len(behind) :][: len(alone)].tolist() == alone.tolist()
+
+
+def test_windows_share_the_symbols_of_a_round():
+    names = np.random.default_rng(4).integers(0, 1 << 63, 20_000).astype(np.uint64)
+    shape = recompress._representatives(names, np.arange(len(names) - 12))
+    assert len(np.unique(shape)) < 0.45 * len(shape)
+    symbols = recompress.Symbols(names, np.arange(len(names)), np.arange(1, len(names) + 1))
+    for turn in range(1, recompress.ROUNDS + 1):
+        merged = recompress._round(symbols, turn)
+        assert 0.6 * len(symbols.name) < len(merged.name) < 0.85 * len(symbols.name)
+        symbols = merged
+
+
+def test_repeats_in_a_text_longer_than_a_group(spark):
+    rng = np.random.default_rng(5)
+    long = [f"w{x}" for x in rng.integers(0, 1 << 40, 400_000)]
+    rows = [(1, " ".join(long[1000:1040])), (2, " ".join(long)), (3, "other words " + " ".join(long[250_000:250_060])), (4, " ".join(long[:9] * 40))]
+    assert len(rows[1][1]) > recompress.GROUP_BYTES
+    got = recompress.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_repeats(rows)
+
+
+def test_rows_of_one_id_are_spread(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(7, f"{passage} end{i}") for i in range(30)] + [(3, passage)]
+    got = recompress.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=300).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(3, 20, 0)] + [(7, 21, 20)] * 30
+
+
 def test_repeats_of_odd_rows(spark, odd):
     rows = recompress.remove_repeats(odd, with_text=True, others=["source", "g"]).collect()
     assert len(rows) == odd.count() and rows[0]["others"].asDict().keys() == {"source", "g"}
