@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom import dims
@@ -165,6 +165,23 @@ def queries_to_clauses(df: DataFrame, id_col: str, col: str, court_aliases: bool
         "query_id", "atom_id", "_a.*")
 
 
+def clause_rows(df: DataFrame) -> DataFrame:
+    """Searches given as rows ``query_id, clause_id, op, terms, is_prefix`` in the form of :func:`queries_to_clauses`.
+
+    Rows that share a clause are alternatives and all clauses of op `must` have to hold; op `not`
+    excludes. ``terms`` is an array of words: several are a phrase, and of a prefix row the last
+    one is a beginning. Words are folded like those of an index. A row with a null word matches
+    nothing; a row without words is left out; repeated rows count as often as they stand.
+    """
+    null = F.array(F.lit(None).cast("string"))
+    folded = F.flatten(F.transform("terms", lambda t: F.when(t.isNull(), null).otherwise(words(t))))
+    rows = df.select("query_id", F.col("clause_id").cast("int").alias("clause_id"), "op", folded.alias("terms"),
+                     F.coalesce("is_prefix", F.lit(False)).alias("is_prefix")).where(F.size("terms") > 0)
+    place = Window.partitionBy("query_id").orderBy("clause_id", "op", "terms", "is_prefix")
+    return rows.select("query_id", (F.row_number().over(place) - 1).alias("atom_id"), "clause_id", "op", "terms",
+                       (F.size("terms") > 1).alias("is_phrase"), "is_prefix")
+
+
 def split_constitutional_ref(col: Column | str) -> Column:
     """`2008-562 DC` to ``struct<number, nature>``; NULL for any other text."""
     col = F.col(col) if isinstance(col, str) else col

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.queries import queries_to_clauses
+from lexloom.functions.queries import clause_rows, queries_to_clauses
 from lexloom.functions.text import fold
 from lexloom.operators.windows import keep_best
 from lexloom.plans.index import marked_stats, query_postings
@@ -29,8 +29,13 @@ def bm25(tf: Column, doc_len: Column, avg_len: Column) -> Column:
 
 
 def parsed(queries: DataFrame) -> DataFrame:
-    """Atoms of ``query_id, query`` rows, written once because the plan reads them several times."""
-    return stage(queries_to_clauses(queries, "query_id", "query"), "atoms")
+    """Atoms of a batch of searches, written once because the plan reads them several times.
+
+    Searches are rows of words (``query_id, clause_id, op, terms, is_prefix``, see
+    :func:`clause_rows`) or, for what people type, texts (``query_id, query``).
+    """
+    as_rows = "terms" in queries.columns
+    return stage(clause_rows(queries) if as_rows else queries_to_clauses(queries, "query_id", "query"), "atoms")
 
 
 def query_terms(atoms: DataFrame) -> DataFrame:

@@ -60,6 +60,15 @@ def _queries(spark: SparkSession, folder: str, text: Column) -> DataFrame:
     return passages(spark, folder).select("query_id", text.alias("query"))
 
 
+def _atom(clause: int, *terms: Column, op: str = "must", is_prefix: bool = False) -> Column:
+    return F.struct(F.lit(clause).alias("clause_id"), F.lit(op).alias("op"), F.array(*terms).alias("terms"), F.lit(is_prefix).alias("is_prefix"))
+
+
+def _searches(spark: SparkSession, folder: str, *atoms: Column) -> DataFrame:
+    """One search for each passage, as rows of words taken from it."""
+    return passages(spark, folder).select("query_id", F.inline(F.array(*atoms)))
+
+
 def _hits(matches: DataFrame, k: int = 10) -> DataFrame:
     return search.top_k(matches, k).select("query_id", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -91,7 +100,7 @@ UNION ALL SELECT '', n, CAST(round(a) AS BIGINT) FROM stats"""
 
 
 def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
-    q = _queries(spark, folder, _q('"', _word(1), '" "', _word(2), '"'))
+    q = _searches(spark, folder, _atom(1, _word(1)), _atom(2, _word(2)))
     return _hits(search.match_docs(q, documents(spark, folder), "doc_id", ["text"]))
 
 
@@ -105,7 +114,7 @@ SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10"
 
 
 def search_totals(spark: SparkSession, folder: str) -> DataFrame:
-    q = _queries(spark, folder, _q('"', _word(1), '" "', _word(2), '"'))
+    q = _searches(spark, folder, _atom(1, _word(1)), _atom(2, _word(2)))
     return search.totals(search.match_docs(q, documents(spark, folder), "doc_id", ["text"])).select("query_id", "total")
 
 
@@ -115,7 +124,7 @@ SELECT query_id, count(*) AS total FROM (SELECT query_id, doc_id FROM hit GROUP
 
 
 def bm25_boolean(spark: SparkSession, folder: str) -> DataFrame:
-    q = _queries(spark, folder, _q('("', _word(2), '" OR "', _word(4), '") AND "', _word(6), '" -"', _word(8), '"'))
+    q = _searches(spark, folder, _atom(1, _word(2)), _atom(1, _word(4)), _atom(2, _word(6)), _atom(3, _word(8), op="not"))
     return _hits(search.match_docs(q, documents(spark, folder), "doc_id", ["text"]))
 
 
@@ -130,7 +139,7 @@ SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10"
 
 
 def phrase(spark: SparkSession, folder: str) -> DataFrame:
-    q = _queries(spark, folder, _q('"', _word(1), " ", _word(2), " ", _word(3), '"'))
+    q = _searches(spark, folder, _atom(1, _word(1), _word(2), _word(3)))
     return _hits(search.match_docs(q, documents(spark, folder), "doc_id", ["text"]))
 
 
@@ -144,7 +153,7 @@ SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10"
 
 
 def prefix(spark: SparkSession, folder: str) -> DataFrame:
-    q = _queries(spark, folder, _q('"', F.substring(_word(3), 1, 4), '"* "', _word(5), '"'))
+    q = _searches(spark, folder, _atom(1, F.substring(_word(3), 1, 4), is_prefix=True), _atom(2, _word(5)))
     posts = stage(index.postings(documents(spark, folder), "doc_id", ["text"], "documents"), "postings")
     return _hits(search.match(search.parsed(q), posts, index.corpus_stats(posts)))
 
@@ -159,7 +168,7 @@ SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10"
 
 def prefix_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The same search over documents without an index."""
-    q = _queries(spark, folder, _q('"', F.substring(_word(3), 1, 4), '"* "', _word(5), '"'))
+    q = _searches(spark, folder, _atom(1, F.substring(_word(3), 1, 4), is_prefix=True), _atom(2, _word(5)))
     return _hits(search.match_docs(q, documents(spark, folder), "doc_id", ["text"]))
 
 
@@ -168,7 +177,7 @@ ORACLES["search_prefix_all"] = ORACLES["prefix"]
 
 
 def prefix_excluded(spark: SparkSession, folder: str) -> DataFrame:
-    q = _queries(spark, folder, _q('"', _word(5), '" -', F.substring(_word(3), 1, 4), "*"))
+    q = _searches(spark, folder, _atom(1, _word(5)), _atom(2, F.substring(_word(3), 1, 4), op="not", is_prefix=True))
     return _hits(search.match_docs(q, documents(spark, folder), "doc_id", ["text"]))
 
 
@@ -194,7 +203,7 @@ SELECT query_id, doc_id FROM t JOIN q ON contains(s, p)"""
 
 def snippet(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    q = _queries(spark, folder, _q('"', _word(1), '" "', _word(2), '"'))
+    q = _searches(spark, folder, _atom(1, _word(1)), _atom(2, _word(2)))
     atoms = search.parsed(q)
     posts, corpus = search.scan_postings(atoms, docs, "doc_id", ["text"], "documents")
     hits = search.top_k(search.match(atoms, posts, corpus), 3)
@@ -336,7 +345,7 @@ SELECT query_id, source, doc_id, score FROM r WHERE rn = 1"""
 def unique_hits(spark: SparkSession, folder: str) -> DataFrame:
     """The same document found by two searches counts once, with its best score."""
     one = _any_word(spark, folder).select("query_id", "doc_id", "score")
-    two = search.match_docs(_queries(spark, folder, _q('"', _word(3), '"')), documents(spark, folder), "doc_id", ["text"]).select("query_id", "doc_id", "score")
+    two = search.match_docs(_searches(spark, folder, _atom(1, _word(3))), documents(spark, folder), "doc_id", ["text"]).select("query_id", "doc_id", "score")
     return dedup_hits(union_sources(one, two), "doc_id", "query_id", F.desc("score")).groupBy("query_id").agg(
         F.count("*").alias("n"), F.round(F.max("score"), 4).alias("best"))
 

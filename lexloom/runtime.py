@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _STAGE_FOLDER = "lexloom-stage"
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,10 +43,31 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFra
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if (owned := _staged.get()) is not None:
+        owned.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end all folders that :func:`stage` writes inside, also after a failure.
+
+    A result that reads staged folders has to be written before the end. An inner ``staging``
+    owns its own folders; those staged outside of any stay until the shared area is cleared.
+    """
+    owned: list[str] = []
+    token = _staged.set(owned)
+    try:
+        yield
+    finally:
+        _staged.reset(token)
+        settings = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in owned:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(settings).delete(folder, True)
+
+
 def fence(df: DataFrame, *columns: str) -> DataFrame:
     """Keep the optimizer from copying the expressions behind ``columns`` into later filters.
 

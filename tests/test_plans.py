@@ -1,5 +1,6 @@
 import datetime
 import math
+import pathlib
 import random
 import re
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from lexloom import dims
 from lexloom.operators.filters import to_result
 from lexloom.plans import cascade, collections, directory, federation, index, search, thesaurus
+from lexloom.runtime import shared_dir, stage, staging
 
 D = datetime.date
 K1, B = search.K1, search.B
@@ -58,6 +60,52 @@ def test_search_against_brute_force(spark):
     assert scanned == {(r.query_id, r.doc_id, r.score) for r in matched if r.query_id != 4}
 
 
+CLAUSE_ROWS = "query_id long, clause_id int, op string, terms array<string>, is_prefix boolean"
+
+
+def test_searches_as_rows_equal_searches_as_text(spark):
+    rng = random.Random(8)
+    letters = ["alpha", "alpin", "bravo", "charlie", "delta", "écho", "foxtrot"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(letters, k=rng.randint(1, 9)))) for i in range(60)], "doc_id long, text string")
+    texts = spark.createDataFrame([
+        (1, "alpha bravo"), (2, '"alpha bravo" OR delta'), (3, "alp* NOT charlie"), (4, '(echo OR foxtrot) delta -"bravo charlie"'), (5, "NOT alpha")],
+        "query_id long, query string")
+    rows = spark.createDataFrame([
+        (1, 1, "must", ["Alpha"], False), (1, 2, "must", ["BRAVO"], None), (2, 1, "must", ["alpha", "bravo"], False), (2, 1, "must", ["delta"], False),
+        (3, 1, "must", ["alp"], True), (3, 2, "not", ["charlie"], False), (4, 7, "must", ["ECHO"], False), (4, 7, "must", ["foxtrot"], False),
+        (4, 9, "must", ["delta"], False), (4, 11, "not", ["bravo charlie"], False), (5, 1, "not", ["alpha"], False)], CLAUSE_ROWS)
+    found = [{(r.query_id, r.doc_id, r.score) for r in search.match_docs(q, docs, "doc_id", ["text"]).collect()} for q in (texts, rows)]
+    assert found[0] == found[1] and {q for q, _, _ in found[0]} == {1, 2, 3, 4}
+
+
+def test_odd_clause_rows(spark):
+    docs = spark.createDataFrame([(1, "alpha bravo"), (2, "bravo"), (3, None), (4, "")], "doc_id long, text string")
+    rows = spark.createDataFrame([
+        (1, 1, "must", ["alpha", None], False), (2, 1, "must", ["bravo"], False), (2, 2, "not", [None], False), (3, 1, "must", [], False),
+        (3, 2, "must", ["alpha"], False), (4, 1, "must", [None], True), (5, 1, "must", None, None)], CLAUSE_ROWS)
+    found = lambda q: {(r.query_id, r.doc_id) for r in search.match_docs(q, docs, "doc_id", ["text"]).collect()}
+    assert found(rows) == {(2, 1), (2, 2), (3, 1)} and found(rows.limit(0)) == set()
+    scores = search.match_docs(spark.createDataFrame([(1, 1, "must", ["bravo"], False)] * 2, CLAUSE_ROWS), docs, "doc_id", ["text"])
+    single = search.match_docs(spark.createDataFrame([(1, 1, "must", ["bravo"], False)], CLAUSE_ROWS), docs, "doc_id", ["text"])
+    assert [r.score for r in scores.orderBy("doc_id").collect()] == pytest.approx([2 * r.score for r in single.orderBy("doc_id").collect()], abs=2e-6)
+
+
+def test_staged_folders_are_removed_with_their_owner(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "alpha bravo"), (2, "bravo")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "bravo")], "query_id long, query string")
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file:")) / "lexloom-stage"
+    kept = stage(docs, "kept")
+    before = set(folder.iterdir())
+    with staging(spark):
+        search.search_docs(queries, docs, "doc_id", ["text"]).write.parquet(str(tmp_path / "hits"))
+        assert set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before and kept.count() == 2 and spark.read.parquet(str(tmp_path / "hits")).count() == 2
+    with pytest.raises(ValueError), staging(spark):
+        stage(docs, "lost")
+        raise ValueError
+    assert set(folder.iterdir()) == before
+
+
 def test_hostile_queries(spark):
     df = spark.createDataFrame([(1, "x y")], "doc_id int, text string")
     hostile = ['"', "((", "*", "a AND", "NOT", "OR OR", "-", "\\", "a:b", "NEAR(a b)", "'; drop", "é\u0000"]
