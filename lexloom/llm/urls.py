@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.runtime import stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which names are registered; every other suffix is the last label.
 WIDE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "or.jp", "co.nz", "com.br", "co.za")
@@ -78,18 +80,19 @@ def reputations(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> Data
     host gets its domain's mean with the domain's prior weight. Nulls in ``good`` are unlabelled.
     """
     seen = outcomes.where("good is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("k"))
-    host = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")).join(
-        seen, "host", "left").fillna(0, ["n", "k"])
-    domain = host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    host = stage(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")).join(
+        seen, "host", "left").fillna(0, ["n", "k"]), "url-hosts")
+    domain = stage(host.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "url-domains")
     suffix = domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    whole = suffix.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("p"))
+    whole = domain.agg(((F.coalesce(F.sum("k"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("p"))
     shrunk = lambda m: ((F.col("k") + F.col(m) * F.col("p")) / (F.col("n") + F.col(m)))
 
-    suffix = suffix.crossJoin(F.broadcast(whole))  # one row on the right, as with every strength below
+    # Every level is written once: its rows give the strength of their prior and then their own means.
+    suffix = stage(suffix.crossJoin(F.broadcast(whole)), "url-suffixes")  # one row on the right, as with every strength below
     suffix = suffix.crossJoin(F.broadcast(_strength(suffix, "suffix"))).select("suffix", shrunk("m_suffix").alias("p"))
-    domain = domain.join(suffix, "suffix")
+    domain = stage(domain.join(suffix, "suffix"), "url-domain-priors")
     domain = domain.crossJoin(F.broadcast(_strength(domain, "domain"))).select("domain", "suffix", shrunk("m_domain").alias("p"))
-    host = host.join(domain, ["domain", "suffix"])
+    host = stage(host.join(domain, ["domain", "suffix"]), "url-host-priors")
     a, b = F.col("k") + F.col("m_host") * F.col("p"), F.col("n") - F.col("k") + F.col("m_host") * (1 - F.col("p"))
     return host.crossJoin(F.broadcast(_strength(host, "host"))).select(
         "host", "domain", "suffix", "n", "k", (a / (a + b)).alias("mean"),
