@@ -15,7 +15,7 @@ ROW_BYTES = 16
 def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal rows to ``shards`` contiguous shards whose byte sizes are as equal as whole rows allow.
 
-    The global order is (hash of the text, id), so equal texts are neighbours and only a cut can
+    The global order is (first 60 bits of the text's MD5, id), so equal texts are neighbours and only a cut can
     part them. The size of a row is its text's UTF-8 bytes (none for a null) plus ``ROW_BYTES``; a
     row goes to the shard in whose equal share of all bytes its middle lies. Returns doc_id, size,
     text_crc32, shard and slot (position inside the shard, from 0). A null id sorts first; rows
@@ -23,9 +23,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", te
     than shards. Other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    place = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     narrow = stage(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_hash")).withColumn("_one", F.lit(1).cast("long")), "shard-sizes")
+        F.crc32(text).alias("text_crc32"), place.alias("_hash")).withColumn("_one", F.lit(1).cast("long")), "shard-sizes")
     placed = running_sums(narrow, ["_hash", "doc_id", "size"], ["size", "_one"])
     whole = narrow.agg(F.sum("size").alias("_all"))
     middle = 2 * F.col("size_upto") - F.col("size")

@@ -53,6 +53,18 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BI
 LEFT JOIN (SELECT doc_id, sum(size) AS taken FROM kept GROUP BY doc_id) USING (doc_id)
 """
 
+OP2 = r"""
+WITH crcs AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS crcs),
+t AS (SELECT doc_id, coalesce(text, '') AS t, (strlen(coalesce(text, '')) + 16)::BIGINT AS size FROM documents),
+b AS (SELECT doc_id, size, ('0x' || md5(t)[1:15])::BIGINT AS h, list_transform(regexp_extract_all(hex(t), '..'), lambda x: ('0x' || x)::UBIGINT) AS bytes FROM t),
+c AS (SELECT doc_id, size, h, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255)::INT + 1])),
+  4294967295::UBIGINT)::BIGINT AS text_crc32 FROM b, crcs),
+placed AS (SELECT doc_id, size, text_crc32, h, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)::BIGINT AS upto, sum(size) OVER ()::BIGINT AS whole FROM c),
+dealt AS (SELECT *, least(39, floor((2 * upto - size)::DOUBLE / whole::DOUBLE * 20))::INT AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard FROM dealt
+"""
+
 OP3 = r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
@@ -142,5 +154,5 @@ FROM scored LEFT JOIN ranked USING (doc_id)
 """
 
 ORACLES = {
-    "op1_url_reputation": OP1, "op3_pivot_search": OP3, "op4_fair_mix": OP4, "op6_recompressed_repeats": OP6, "op7_bbit_near_duplicates": OP7,
+    "op1_url_reputation": OP1, "op2_byte_shards": OP2, "op3_pivot_search": OP3, "op4_fair_mix": OP4, "op6_recompressed_repeats": OP6, "op7_bbit_near_duplicates": OP7,
     "op11_dual_tree_search": OP11, "op12_winnowed_decontamination": OP12, "op13_batch_resampling": OP13}
