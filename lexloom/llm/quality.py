@@ -28,7 +28,11 @@ _CLASS[[ord(c) for c in "\"'()[]{}<>"]] = 6
 _CLASS[128:] = 8
 _CLASS[[*range(10), *range(11, 32), 127]] = 9
 _KINDS = 10
-FEATURES = _KINDS + 8
+SHAPES = _KINDS + 8
+#: Buckets of hashed words; each has a learned vector, and a passage is encoded by those of its words besides its shape.
+WORD_BUCKETS = 256
+FEATURES = SHAPES + WORD_BUCKETS
+_BLOCK = 8192
 
 
 class QualityModel(NamedTuple):
@@ -37,8 +41,11 @@ class QualityModel(NamedTuple):
     weights: dict[str, np.ndarray]
 
 
-def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(passages, FEATURES), and the bounds of each text's passages; an empty text is one empty passage."""
+def read_passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shapes (passages, SHAPES), words a bucket (passages, WORD_BUCKETS) and the bounds of each text's passages.
+
+    An empty text is one empty passage.
+    """
     words = split_words(data, offsets)
     counts = np.diff(words.first)
     n = len(counts)
@@ -74,14 +81,33 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     marked = _CLASS[last] >= 5 if len(own) else np.zeros(0, bool)
     shared = np.stack([np.log1p(number), mean, np.sqrt(np.maximum(per_word(length * length) - mean * mean, 0)), distinct,
                        most / some, per_word(same), per_word(marked.astype(float)), per_word((length == 1).astype(float))], axis=1)
-    return np.concatenate([kinds / size[:, None], shared], axis=1), bounds
+    buckets = np.zeros((total, WORD_BUCKETS), np.uint8)  # a passage has at most PASSAGE words
+    bucket = (words.name % np.uint64(WORD_BUCKETS)).astype(np.int64)
+    for low in range(0, total, _BLOCK):
+        high = min(low + _BLOCK, total)
+        a, b = np.searchsorted(own, [low, high])
+        buckets[low:high] = np.bincount((own[a:b] - low) * WORD_BUCKETS + bucket[a:b], minlength=(high - low) * WORD_BUCKETS).reshape(-1, WORD_BUCKETS)
+    return np.concatenate([kinds / size[:, None], shared], axis=1), buckets, bounds
+
+
+def _joined(shapes: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Shapes beside the square roots of the buckets' shares, which have length 1."""
+    total = np.maximum(buckets.sum(axis=1, keepdims=True, dtype=np.float32), 1)
+    return np.concatenate([shapes.astype(np.float32), np.sqrt(buckets / total)], axis=1)
+
+
+def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passages, FEATURES) as the encoder sees them before scaling, and the bounds of each text's passages."""
+    shapes, buckets, bounds = read_passages(data, offsets)
+    return _joined(shapes, buckets), bounds
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in portions(batches, "text"):
-        features, bounds = passage_features(*text_bytes(batch.column("text")))
-        bags = [features[a:b].astype(np.float32).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
+        shapes, buckets, bounds = read_passages(*text_bytes(batch.column("text")))
+        spans = [slice(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        bags = [pa.array([rows[x].tobytes() for x in spans], pa.binary()) for rows in (shapes.astype(np.float32), buckets)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *bags], names=["doc_id", "quality", "shapes", "buckets"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -90,7 +116,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, bag: np.ndarray) -> tuple:
     """Encode passages, weigh them by gated attention, and score the weighted representation."""
-    h = np.tanh(x @ w["encode"] + w["encode_b"])
+    return _weigh(w, np.tanh(x @ w["encode"] + w["encode_b"]), starts, bag)
+
+
+def _weigh(w: dict[str, np.ndarray], h: np.ndarray, starts: np.ndarray, bag: np.ndarray) -> tuple:
     t, s = np.tanh(h @ w["tanh"]), _sigmoid(h @ w["gate"])
     e = (t * s) @ w["attend"]
     e = np.exp(e - np.maximum.reduceat(e, starts)[bag])
@@ -101,10 +130,12 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, starts: np.ndarray, bag: n
 
 def train(x: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> QualityModel:
     """Fit encoder, gate and score together by Adam on the cross-entropy of the documents."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    mean, scale = np.zeros(FEATURES, np.float32), np.ones(FEATURES, np.float32)
+    mean[:SHAPES], scale[:SHAPES] = x[:, :SHAPES].mean(axis=0, dtype=float), x[:, :SHAPES].std(axis=0, dtype=float) + 1e-6
     x, labels = np.clip((x - mean) / scale, -8, 8).astype(np.float32), labels.astype(np.float32)
     rng = np.random.default_rng(SEED)
-    w = {"encode": rng.normal(0, FEATURES ** -0.5, (FEATURES, HIDDEN)), "encode_b": np.zeros(HIDDEN),
+    vectors = np.zeros((WORD_BUCKETS, HIDDEN))  # of words: they start without a say
+    w = {"encode": np.concatenate([rng.normal(0, SHAPES ** -0.5, (SHAPES, HIDDEN)), vectors]), "encode_b": np.zeros(HIDDEN),
          "tanh": rng.normal(0, HIDDEN ** -0.5, (HIDDEN, HIDDEN)), "gate": rng.normal(0, HIDDEN ** -0.5, (HIDDEN, HIDDEN)),
          "attend": rng.normal(0, HIDDEN ** -0.5, HIDDEN), "score": rng.normal(0, HIDDEN ** -0.5, HIDDEN), "score_b": np.zeros(1)}
     w = {k: v.astype(np.float32) for k, v in w.items()}
@@ -150,20 +181,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     upto = F.sum("size").over(turn.rowsBetween(W.unboundedPreceding, 0))
     fits = sized.withColumns({"upto": upto, "turn": F.row_number().over(turn)}).where((F.col("upto") <= class_passages) | (F.col("turn") == 1))
     rows = rows.join(F.broadcast(fits.select("doc_id")), "doc_id")  # bounded as above
-    found = rows.mapInArrow(_features, "doc_id long, quality int, bag binary").orderBy("doc_id").collect()
+    found = rows.mapInArrow(_features, "doc_id long, quality int, shapes binary, buckets binary").orderBy("doc_id").collect()
     if not found:
         return QualityModel(np.zeros(FEATURES), np.ones(FEATURES), {})
-    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in found]
-    bounds = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    return train(np.concatenate(bags).astype(float), bounds, np.array([r["quality"] for r in found], float))
+    shapes = [np.frombuffer(r["shapes"], np.float32).reshape(-1, SHAPES) for r in found]
+    buckets = [np.frombuffer(r["buckets"], np.uint8).reshape(-1, WORD_BUCKETS) for r in found]
+    bounds = np.concatenate([[0], np.cumsum([len(b) for b in shapes])])
+    return train(_joined(np.concatenate(shapes), np.concatenate(buckets)), bounds, np.array([r["quality"] for r in found], float))
 
 
 def score_texts(model: QualityModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not model.weights or len(offsets) < 2:
         return np.full(len(offsets) - 1, 0.5)
-    x, bounds = passage_features(data, offsets)
-    x = np.clip((x - model.mean) / model.scale, -8, 8)
-    return _forward(model.weights, x, bounds[:-1], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))[-1]
+    shapes, buckets, bounds = read_passages(data, offsets)
+    w, h = model.weights, np.empty((len(shapes), HIDDEN))
+    for low in range(0, len(shapes), _BLOCK):
+        x = _joined(shapes[low : low + _BLOCK], buckets[low : low + _BLOCK])
+        h[low : low + _BLOCK] = np.tanh(np.clip((x - model.mean) / model.scale, -8, 8) @ w["encode"] + w["encode_b"])
+    return _weigh(w, h, bounds[:-1], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))[-1]
 
 
 def _score(model: QualityModel) -> Callable:

@@ -38,6 +38,25 @@ def test_one_late_passage_is_learnt(spark):
     assert few.weights and len(quality.score_documents(df, few).collect()) == 80
 
 
+def test_words_of_one_shape_are_told_apart(spark):
+    """Equal lengths, bytes and repeats: only which words a passage holds tells the label."""
+    rng = random.Random(4)
+    kinds = (["chat", "mule", "lynx", "loup"], ["rose", "iris", "buis", "aune"])
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(100)), i % 2) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    scored = quality.score_documents(df, quality.fit(df, df.select("doc_id", "quality")), least=0.5).collect()
+    assert any(r["held_out"] for r in scored) and all(r["predicted"] == r["doc_id"] % 2 for r in scored)
+
+
+def test_words_of_a_bucket_are_counted_in_blocks(monkeypatch):
+    texts = pa.array(["a b a", None, "b " * 200, "c"])
+    whole = quality.read_passages(*text_bytes(texts))
+    monkeypatch.setattr(quality, "_BLOCK", 2)
+    for one, other in zip(whole, quality.read_passages(*text_bytes(texts))):
+        assert (one == other).all()
+    assert whole[1].sum(axis=1).tolist() == [3, 0, 64, 64, 64, 8, 1]
+
+
 def test_quality_scores_against_plain_python(spark, docs, sf_dir):
     """The batched forward pass equals one document at a time, written out."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
