@@ -32,7 +32,7 @@ SHAPES = _KINDS + 8
 #: Buckets of hashed words; each has a learned vector, and a passage is encoded by those of its words besides its shape.
 WORD_BUCKETS = 256
 FEATURES = SHAPES + WORD_BUCKETS
-_BLOCK = 8192
+_BLOCK = 2048
 
 
 class QualityModel(NamedTuple):
