@@ -10,6 +10,7 @@ from lexloom import dims
 from lexloom.functions.dates import clean_iso_date, parse_fr_date
 from lexloom.functions.identifiers import rg_digits
 from lexloom.functions.text import fold
+from lexloom.operators.windows import keep_best
 from lexloom.runtime import blank_to_null, map_lookup
 
 RESULT_COLUMNS = ["id", "source", "source_label", "title", "juridiction", "date", "formation", "numero", "ecli",
@@ -129,16 +130,24 @@ def by_docket(df: DataFrame, refs: DataFrame, k: int = 5, id_col: str = "id") ->
 
 
 def by_rg(df: DataFrame, refs: DataFrame, k: int = 50, id_col: str = "id") -> DataFrame:
-    """Decisions by roll number in any spelling, newest first; else by the exact docket."""
+    """Decisions by roll number in any spelling, newest first; else by the exact docket.
+
+    Each number keeps its ``k`` first decisions before references meet them, so references that
+    share a number with many decisions never become pairs of both.
+    """
     asked = refs.select("ref_id", F.col("numero").alias("_asked")).where(blank_to_null("numero").isNotNull())
     key = lambda col: F.when(rg_digits(col).rlike(r"^\d{6,11}$"), rg_digits(col))
+    order = (F.col("date").desc_nulls_last(), F.col(id_col))
+
+    def newest(keyed: DataFrame) -> DataFrame:
+        return keep_best(keyed.where(F.col("_key").isNotNull()), ["_key"], *order, k=k)
+
     rolled = asked.withColumn("_key", key(F.col("_asked"))).join(
-        df.withColumn("_key", key(F.col("numero"))), "_key").drop("_key")
+        newest(df.withColumn("_key", key(F.col("numero")))), "_key").drop("_key")
     missing = asked.join(rolled.select("ref_id").distinct(), "ref_id", "left_anti")
-    exact = missing.join(df, missing["_asked"] == df["numero"])
-    order = W.partitionBy("ref_id").orderBy(F.col("date").desc_nulls_last(), id_col)
-    return rolled.unionByName(exact).withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= k).drop("_asked")
+    exact = missing.withColumn("_key", F.col("_asked")).join(
+        newest(df.withColumn("_key", blank_to_null("numero"))), "_key").drop("_key")
+    return keep_best(rolled.unionByName(exact), ["ref_id"], *order, k=k, rank_col="rank").drop("_asked")
 
 
 def date_range(df: DataFrame, col: str, lo: str | None = None, hi: str | None = None, blanks: str = "keep") -> DataFrame:

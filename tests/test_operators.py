@@ -101,6 +101,19 @@ def test_lookups(spark):
     assert got == [(1, "D6"), (1, "D5"), (2, "D4"), (2, "D3")]
 
 
+def test_shared_roll_numbers_are_limited_before_references_meet_them(spark):
+    rows = [(i, "12/34567" if i % 2 else "N 12", D(2000 + i % 7, 1, 1) if i % 5 else None) for i in range(40)] + [(99, None, None), (98, "", None)]
+    d = spark.createDataFrame(rows, "id int, numero string, date date")
+    refs = spark.createDataFrame([(1, "1234567"), (2, "12-34567"), (3, "N 12"), (4, ""), (5, None), (1, "1234567")], "ref_id int, numero string")
+    found = filters.by_rg(d, refs, k=3)
+    newest = lambda odd: [i for _, _, i in sorted(((r[2] is None, -(r[2] or D(1, 1, 1)).toordinal(), r[0]) for r in rows[:40] if r[0] % 2 == odd))]
+    got = {n: [r.id for r in sorted(found.where(F.col("ref_id") == n).collect(), key=lambda r: r.rank)] for n in range(1, 6)}
+    a, b = newest(1), newest(0)
+    assert got == {1: [a[0], a[0], a[1]], 2: a[:3], 3: b[:3], 4: [], 5: []}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Window [row_number") > plan.index("Join")  # numbers are cut below the join, not only pairs above it
+
+
 def test_date_policies(spark):
     d = decisions_df(spark)
     ids = lambda df: sorted(r.id for r in df.collect())
