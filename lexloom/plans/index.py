@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import words
@@ -13,9 +13,10 @@ FIELD_GAP = 1 << 24
 DOCUMENT_MARK = ""
 
 
-def _tokens(docs: DataFrame, id_col: str, fields: list[str], collection: str | None) -> DataFrame:
-    """``collection, doc_id, doc_len, pos, term``: every word occurrence, and one row per document
-    with the empty term at position -1.
+def _tokens(docs: DataFrame, id_col: str, fields: list[str], collection: str | None,
+            runs: dict[int, list[int]]) -> DataFrame:
+    """``collection, doc_id, doc_len, term, pos``: every run of words that may have been asked for (see
+    :func:`query_postings`), and one row per document with the empty term at position -1.
 
     The outer form of the generator keeps the optimizer from adding a non-emptiness filter, which
     would split every text twice.
@@ -25,8 +26,25 @@ def _tokens(docs: DataFrame, id_col: str, fields: list[str], collection: str | N
         *[words(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"_w{i}") for i, f in enumerate(fields)])
     length = sum((F.size(f"_w{i}") for i in range(len(fields))), F.lit(0)).alias("doc_len")
     mark = F.array(F.struct(F.lit(DOCUMENT_MARK).alias("term"), F.lit(-1).alias("pos")))
-    parts = [mark, *[_offset_tokens(f"_w{i}", i * FIELD_GAP) for i in range(len(fields))]]
-    return split.select("collection", "doc_id", length, F.inline_outer(F.concat(*parts)))
+    parts = [_runs(f"_w{i}", i * FIELD_GAP, n, letters) for i in range(len(fields)) for n, letters in sorted(runs.items())]
+    return split.select("collection", "doc_id", length, F.inline_outer(F.concat(mark, *[p for run in parts for p in run])))
+
+
+def _runs(col: str, base: int, n: int, letters: list[int]) -> list[Column]:
+    """All runs of ``n`` words of a field; by 0 letters whole, by more with that beginning of their last word."""
+    at = F.when(F.size(col) >= n, F.sequence(F.lit(0), F.size(col) - n)).otherwise(F.array().cast("array<int>"))
+
+    def cut(t: Column, k: int) -> Column:
+        return F.when(F.length(t) >= k, F.concat(F.substring(t, 1, k), F.lit("*"))) if k else t
+
+    def run(k: int) -> Column:
+        if n == 1:  # a word too short for the beginning stays null and meets nothing
+            return F.transform(F.col(col), lambda t, i: F.struct(cut(t, k).alias("term"), (i + base).alias("pos")))
+        word = lambda i, j: F.get(F.col(col), i + j)
+        return F.transform(at, lambda i: F.struct(F.concat(*[
+            x for j in range(n - 1) for x in (word(i, j), F.lit(" "))], cut(word(i, n - 1), k)).alias("term"), (i + base).alias("pos")))
+
+    return [run(k) for k in sorted(set(letters))]
 
 
 def _offset_tokens(col: str, base: int):
@@ -65,31 +83,27 @@ def postings(docs: DataFrame, id_col: str, fields: list[str], collection: str |
     return _word_runs(split.select("collection", "doc_id", pairs.alias("_pairs")))
 
 
-def query_postings(docs: DataFrame, id_col: str, fields: list[str], only_terms: DataFrame,
-                   collection: str | None = None, prefixes: DataFrame | None = None) -> DataFrame:
-    """Postings of just the given words (column ``term``) and of the words that begin with one of
-    ``prefixes`` (column ``prefix``), for searching without an index.
+def query_postings(docs: DataFrame, id_col: str, fields: list[str], keys: DataFrame, runs: dict[int, list[int]],
+                   collection: str | None = None, positions: bool = True) -> DataFrame:
+    """Postings of just the asked runs of words (column ``term`` of ``keys``), for searching without an index.
 
-    Other words are dropped before the only shuffle. One extra row per document under the empty
-    term carries its length. A word meets prefixes by equality: it offers its beginnings of the
-    lengths that are asked for.
+    A run is its words with a space between them; with a star at its end it stands for every run
+    that begins so, and these count together. ``runs`` tells how many words the asked runs have
+    and how many letters of the last word are given (0: all), so a document offers only such runs
+    and meets the asked ones by equality. Other words are dropped before the only shuffle. One
+    extra row per document under the empty term carries its length. Positions may be left out.
     """
-    mark = only_terms.sparkSession.range(1).select(F.lit(DOCUMENT_MARK).alias("_key"))
-    kept = only_terms.select(F.col("term").alias("_key")).unionByName(mark)
-    tokens = _tokens(docs, id_col, fields, collection)
-    if prefixes is None:
-        tokens = tokens.withColumn("_key", F.col("term"))
-    else:
-        # One row: the different lengths of prefixes, of which there are no more than a word has letters.
-        lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("_lengths"))
-        offered = F.transform(F.filter("_lengths", lambda n: n <= F.length("term")), lambda n: F.concat(F.substring(F.col("term"), F.lit(1), n), F.lit("*")))
-        tokens = tokens.crossJoin(F.broadcast(lengths)).withColumn("_key", F.explode(F.array_append(offered, F.col("term")))).drop("_lengths")
-        kept = kept.unionByName(prefixes.select(F.concat("prefix", F.lit("*")).alias("_key")))
-    tokens = tokens.join(kept.distinct(), "_key", "left_semi")
-    # A word that is asked for itself and by a prefix stands here twice.
-    return tokens.groupBy("collection", "term", "doc_id").agg(
-        F.first("doc_len").alias("doc_len"), F.sort_array(F.collect_set("pos")).alias("positions")).select(
-        "collection", "term", "doc_id", F.size("positions").alias("tf"), "doc_len", "positions")
+    mark = keys.sparkSession.range(1).select(F.lit(DOCUMENT_MARK).alias("term"))
+    kept = keys.select("term").unionByName(mark).distinct()
+    tokens = _tokens(docs, id_col, fields, collection, runs).join(kept, "term", "left_semi")
+    key = ["collection", "term", "doc_id"]
+    ids = docs.select((F.lit(collection) if collection else F.col("collection")).alias("collection"), F.col(id_col).alias("doc_id"))
+    if not positions and ids.groupBy("collection", "doc_id").count().where("count > 1").isEmpty():
+        return tokens.groupBy(*key).agg(F.count("*").cast("int").alias("tf"), F.max("doc_len").alias("doc_len")).withColumn(
+            "positions", F.lit(None).cast("array<int>"))
+    # Rows that share an id are one document: a place counts once.
+    found = tokens.groupBy(*key).agg(F.first("doc_len").alias("doc_len"), F.collect_set("pos").alias("positions"))
+    return found.select(*key, F.size("positions").alias("tf"), "doc_len", F.sort_array("positions").alias("positions"))
 
 
 def doc_stats(docs: DataFrame, id_col: str, fields: list[str], collection: str | None = None) -> DataFrame:

@@ -205,8 +205,7 @@ def snippet(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     q = _searches(spark, folder, _atom(1, _word(1)), _atom(2, _word(2)))
     atoms = search.parsed(q)
-    posts, corpus = search.scan_postings(atoms, docs, "doc_id", ["text"], "documents")
-    hits = search.top_k(search.match(atoms, posts, corpus), 3)
+    hits = search.top_k(search.match_atoms(atoms, docs, "doc_id", ["text"], "documents"), 3)
     return search.with_snippets(hits, docs, atoms, "doc_id", "text").select("query_id", "doc_id", "extract")
 
 

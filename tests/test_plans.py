@@ -90,6 +90,41 @@ def test_odd_clause_rows(spark):
     assert [r.score for r in scores.orderBy("doc_id").collect()] == pytest.approx([2 * r.score for r in single.orderBy("doc_id").collect()], abs=2e-6)
 
 
+def test_scanned_phrases_and_beginnings_against_brute_force(spark):
+    rng = random.Random(5)
+    docs = {i: rng.choices(["al", "alp", "alpha", "be", "bet", "ga"], weights=[5, 4, 3, 3, 2, 1], k=rng.randint(1, 60)) for i in range(80)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id int, text string")
+    asked = [(rng.choices(["al", "alp", "be", "alpha"], k=n), star) for n in (1, 2, 3, 4, 5, 6, 9) for star in (False, True) for _ in range(3)]
+    planted = [(docs[i][3:3 + n], star) for i, n, star in ((1, 5, False), (2, 8, True), (3, 10, False), (4, 6, True)) if len(docs[i]) >= 3 + n]
+    cases = dict(enumerate(asked + planted))
+    rows = spark.createDataFrame([(i, 1, "must", *atom) for i, atom in cases.items()], CLAUSE_ROWS)
+    posts = index.postings(df, "doc_id", ["text"], "documents")
+    for found in (search.match_docs(rows, df, "doc_id", ["text"]), search.match(search.parsed(rows), posts, index.corpus_stats(posts))):
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.query_id, {})[r.doc_id] = r.score
+        for i, atom in cases.items():
+            assert got.get(i, {}) == pytest.approx(brute(docs, [[atom]]), abs=2e-6), atom
+    assert any(len(words) > 4 and brute(docs, [[(words, star)]]) for words, star in cases.values())
+
+
+def test_a_frequent_word_of_many_phrases_is_not_looked_up_alone(spark):
+    docs = spark.range(40).select("id", F.concat(F.lit("common "), F.col("id").cast("string")).alias("text"))
+    rows = spark.range(40).select(F.col("id").alias("query_id"), F.lit(1).alias("clause_id"), F.lit("must").alias("op"),
+                                  F.array(F.lit("common"), F.col("id").cast("string")).alias("terms"), F.lit(False).alias("is_prefix"))
+    pieces = search._pieces(search.parsed(rows), search.SPAN)
+    posts, _ = search.scan_postings(pieces, docs, "id", ["text"], "documents")
+    assert posts.where(F.col("term") != index.DOCUMENT_MARK).count() == 40  # by its single words, 1,600 pairs would meet
+    assert {(r.query_id, r.doc_id) for r in search.match_docs(rows, docs, "id", ["text"]).collect()} == {(i, i) for i in range(40)}
+
+
+def test_rows_that_share_an_id_are_one_scanned_document(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a"), (None, "b a"), (2, "b")], "doc_id int, text string")
+    pieces = search._pieces(search.parsed(spark.createDataFrame([(1, 1, "must", ["a"], False)], CLAUSE_ROWS)), search.SPAN)
+    posts, corpus = search.scan_postings(pieces, docs, "doc_id", ["text"], "documents")
+    assert {(r.doc_id, r.tf) for r in posts.where("term = 'a'").collect()} == {(1, 1), (None, 2)} and corpus.first().n_docs == 3
+
+
 def test_staged_folders_are_removed_with_their_owner(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha bravo"), (2, "bravo")], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "bravo")], "query_id long, query string")
