@@ -17,6 +17,8 @@ from lexloom.plans.search import match_docs
 from lexloom.runtime import map_lookup, stage
 
 _STRING_LIST = "array<string>"
+# Kinds of numbers that, with a day, make up the id of a decision.
+DOCKETS = ["dossier", "caa_ce"]
 
 
 def _list_lookup(mapping: dict[str, list[str]], key: Column) -> Column:
@@ -31,7 +33,10 @@ def numbers_of(parsed: DataFrame) -> DataFrame:
                          F.posexplode("numeros").alias("num_no", "_n")).select("*", "_n.kind", "_n.value").drop("_n")
     routed = _list_lookup(dims.NUMBER_ROUTES, F.col("kind"))
     narrowed = F.array_intersect(routed, _list_lookup(dims.COURT_SOURCES, F.col("juri_type")))
-    return rows.withColumn("sources", F.when(F.size(narrowed) > 0, narrowed).otherwise(routed))
+    rows = rows.withColumn("sources", F.when(F.size(narrowed) > 0, narrowed).otherwise(routed))
+    # What the look-ups of a number depend on: references that agree in it ask once. Only dockets need the day.
+    day = F.when(F.col("kind").isin(DOCKETS), F.col("ref_date")).alias("ref_date")
+    return rows.withColumn("ask", F.struct("kind", "value", "sources", "juri_type", day))
 
 
 def number_keys(*cols: Column | str) -> Column:
@@ -54,15 +59,14 @@ def _signature(court: Column) -> Column:
 
 
 def _by_number(numbers: DataFrame, rows: DataFrame) -> DataFrame:
-    """Hits of the number stages, each with its place in the order of attempts."""
-    keyed = numbers.withColumn("ref_key", F.struct("ref_id", "num_no"))
+    """Hits of the number stages for each different ``ask``, with their place in the order of attempts."""
+    keyed = numbers.select("ask").distinct().select(F.col("ask").alias("ref_key"), "ask.*")
 
     def attempt(hits: DataFrame, step: int) -> DataFrame:
-        return hits.select(F.col("ref_key.ref_id").alias("ref_id"), F.col("ref_key.num_no").alias("num_no"),
-                           F.lit(step).alias("step"), *rows.columns)
+        return hits.select(F.col("ref_key").alias("ask"), F.lit(step).alias("step"), *rows.columns)
 
     admin = rows.where("source = 'admin'")
-    dockets = keyed.where(F.col("kind").isin("dossier", "caa_ce") & F.array_contains("sources", "admin"))
+    dockets = keyed.where(F.col("kind").isin(DOCKETS) & F.array_contains("sources", "admin"))
     probes = probe_ids(dockets.withColumn("ref_id", F.col("ref_key")), admin).withColumnRenamed("ref_id", "ref_key")
     conflicts = probe_conflicts(keyed.where("kind = 'tdc'").withColumn("ref_id", F.col("ref_key")), admin
                                 ).withColumnRenamed("ref_id", "ref_key")
@@ -115,33 +119,58 @@ def _court_types(rows: DataFrame) -> Column:
         for kind, sources in dims.COURT_SOURCES.items()]), lambda k: k.isNotNull())
 
 
-def _by_day(parsed: DataFrame, rows: DataFrame) -> DataFrame:
-    """Court and day: same date, right kind of court, right city.
+def _by_day(parsed: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Court and day: same date, right kind of court, right city; ``ref_id, ask`` and the rows of each different ``ask``.
 
     Equal questions are asked once, and rows meet them by date and kind of court; only the city
     is compared as text. All decisions of that court and day go on to the ranking by name.
     """
     asked = parsed.where((F.col("juri_type") != "") & F.col("ref_date").isNotNull()).select(
-        "ref_id", F.col("ref_date").alias("date"), "juri_type", fold("juri_ville").alias("_city"))
-    questions = asked.select("date", "juri_type", "_city").distinct()
+        "ref_id", F.struct(F.col("ref_date").alias("date"), "juri_type", fold("juri_ville").alias("_city")).alias("ask"))
+    questions = asked.select("ask").distinct().select("ask", "ask.*")
     typed = rows.where(F.col("date").isNotNull()).select("*", F.explode(_court_types(rows)).alias("juri_type"))
     hits = questions.join(typed, ["date", "juri_type"]).where(fold("juridiction").contains(F.col("_city")))
-    return asked.join(hits, ["date", "juri_type", "_city"]).select(
-        "ref_id", F.lit(0).alias("num_no"), F.lit(8).alias("step"), *rows.columns)
+    return asked, hits.select("ask", F.lit(8).alias("step"), *rows.columns)
 
 
-def rescore(hits: DataFrame, parsed: DataFrame, limit: int) -> DataFrame:
-    """Order homonyms: relevance/100, +10 city, +8 same day (+2 same year), +1.5 per name word."""
-    refs = parsed.select("ref_id", fold("juri_ville").alias("_city"), "ref_date",
+def _traits(parsed: DataFrame) -> DataFrame:
+    """What the order of homonyms takes from a reference."""
+    return parsed.select("ref_id", fold("juri_ville").alias("_city"), "ref_date",
                          F.filter(F.split(fold("ref_text"), r"\s+"), lambda t: F.length(t) > 3).alias("_words"))
+
+
+def _score_without_day() -> Column:
     named = fold(F.concat_ws(" ", "juridiction", "title"))
-    score = (
+    return (
         F.coalesce("relevance", F.lit(0.0)) / 100
         + F.when((F.col("_city") != "") & named.contains(F.col("_city")), 10.0).otherwise(0.0)
-        + F.when(F.col("date") == F.col("ref_date"), 8.0)
-        .when(F.year("date") == F.year("ref_date"), 2.0).otherwise(0.0)
         + F.size(F.filter("_words", lambda t: named.contains(t))) * 1.5
     )
+
+
+def _candidates(asked: DataFrame, hits: DataFrame, parsed: DataFrame, limit: int) -> DataFrame:
+    """``ref_id``, step and row: the hits of its questions that can be among the first ``limit`` of a reference.
+
+    A popular number or day is asked by many references and held by many rows. Apart from its day
+    a reference's score depends on its question, city and names only, and the day adds the same to
+    all rows of that day, or else of that year. So the first rows of each question, of all days, of
+    each year and of each day, hold the first ones of every reference that asks it.
+    """
+    spans = lambda day: F.explode(F.array_compact(F.array(F.lit(""), F.year(day).cast("string"), F.col(day).cast("date").cast("string"))))
+    refs = asked.join(_traits(parsed), "ref_id").distinct()
+    key = ["ask", "_city", "_words"]
+    rows = hits.columns
+    scored = refs.select(*key).distinct().join(hits, "ask").withColumn("_base", _score_without_day()).withColumn("_span", spans("date"))
+    once = keep_best(scored, [*key, "_span", "id"], F.desc("_base"), F.col("source"))
+    first = keep_best(once, [*key, "_span"], F.desc("_base"), F.col("id"), k=limit)
+    return refs.withColumn("_span", spans("ref_date")).join(first, [*key, "_span"]).select("ref_id", *[c for c in rows if c != "ask"])
+
+
+def rescore(hits: DataFrame, parsed: DataFrame, limit: int) -> DataFrame:
+    """Order homonyms: relevance/100, +10 city, +8 same day (+2 same year), +1.5 per name word."""
+    refs = _traits(parsed)
+    score = _score_without_day() + F.when(F.col("date") == F.col("ref_date"), 8.0).when(
+        F.year("date") == F.year("ref_date"), 2.0).otherwise(0.0)
     scored = hits.join(refs, "ref_id").withColumn("score", score).drop("_city", "ref_date", "_words")
     once = keep_best(scored, ["ref_id", "id"], F.desc("score"), F.col("source"))
     return keep_best(once, ["ref_id"], F.desc("score"), F.col("id"), k=limit, rank_col="rank")
@@ -158,17 +187,21 @@ def resolve_references(refs: DataFrame, rows: DataFrame, limit: int = 20) -> Dat
     cited = stage(parse_references(refs, "query"), "references").where(is_reference())
     exact = rows.withColumn("relevance", F.lit(100.0))
 
-    tried = stage(_by_number(numbers_of(cited), exact), "number-hits")
-    first = tried.groupBy("ref_id").agg(F.min(F.struct("num_no", "step")).alias("_f")).select("ref_id", "_f.*")
-    by_number = tried.join(first, ["ref_id", "num_no", "step"], "left_semi")
+    numbers = stage(numbers_of(cited), "numbers")
+    tried = stage(_by_number(numbers, exact), "number-hits")
+    steps = tried.groupBy("ask").agg(F.min("step").alias("step"))
+    found = numbers.select("ref_id", "num_no", "ask").join(steps, "ask")
+    first = stage(found.groupBy("ref_id").agg(F.min(F.struct("num_no", "step")).alias("_f")).select("ref_id", "_f.*"), "first-numbers")
+    deciding = found.join(first, ["ref_id", "num_no", "step"], "left_semi").select("ref_id", "ask").distinct()
+    by_number = _candidates(deciding, tried.join(steps, ["ask", "step"], "left_semi"), cited, limit)
 
     left = cited.join(first.select("ref_id"), "ref_id", "left_anti")
     parties = stage(_by_party(left, rows.withColumn("relevance", F.lit(None).cast("double"))), "party-hits")
     best_party = parties.groupBy("ref_id").agg(F.min("step").alias("step"))
-    by_party = parties.join(best_party, ["ref_id", "step"], "left_semi")
+    by_party = parties.join(best_party, ["ref_id", "step"], "left_semi").drop("num_no")
 
     left = left.join(best_party.select("ref_id"), "ref_id", "left_anti")
-    by_day = _by_day(left, exact)
+    by_day = _candidates(*_by_day(left, exact), left, limit)
     hits = rescore(reduce(DataFrame.unionByName, [by_number, by_party, by_day]), cited, limit)
 
     listed = F.transform("numeros", lambda n: F.concat(F.lit("n° "), n["value"]))
@@ -178,4 +211,4 @@ def resolve_references(refs: DataFrame, rows: DataFrame, limit: int = 20) -> Dat
                     F.lit(") mais introuvable dans nos fonds. La décision n'est peut-être pas (encore) dans les données ouvertes."))
     noted = cited.select("ref_id", note.alias("_note"))
     return noted.join(hits, "ref_id", "left").withColumn(
-        "note", F.when(F.col("id").isNull(), F.col("_note"))).drop("_note", "num_no")
+        "note", F.when(F.col("id").isNull(), F.col("_note"))).drop("_note")

@@ -4,7 +4,6 @@ expected outcome is known without parsing them back."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexloom import dims
@@ -83,9 +82,9 @@ def resolve_refs(spark: SparkSession, folder: str) -> DataFrame:
     admin = o.where(k == 1).select(
         F.concat(F.lit("DTA_"), F.col("docket"), F.lit("_"), F.date_format("day", "yyyyMMdd")).alias("id"), F.col("docket").alias("numero"),
         F.lit("TA de Lille").alias("juridiction"), day.alias("date"))
-    eu = o.where(k == 3).select(
-        ids.case_to_celex(F.concat(F.lit("C-"), (F.col("o_orderkey") % 900 + 1).cast("string"), F.lit("/"), F.col("two"))).alias("celex"),
-        F.min("day").over(W.partitionBy(F.col("o_orderkey") % 900, "two")).cast("string").alias("date")).distinct()
+    eu = o.where(k == 3).groupBy((F.col("o_orderkey") % 900).alias("_n"), "two").agg(F.min("day").alias("day")).select(
+        ids.case_to_celex(F.concat(F.lit("C-"), (F.col("_n") + 1).cast("string"), F.lit("/"), F.col("two"))).alias("celex"),
+        day.alias("date")).distinct()
     rows = to_result(judicial, "dila").unionByName(to_result(admin, "admin")).unionByName(to_result(eu, "cjue"))
     found = resolve_references(reference_texts(spark, folder), rows, limit=1)
     # Several references share a number; what matters is the number and source of the hit.

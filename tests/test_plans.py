@@ -325,3 +325,31 @@ def test_thesaurus_expansion(spark):
 def test_schemas_parse(spark, key):
     from lexloom.schemas import SCHEMAS
     assert spark.createDataFrame([], SCHEMAS[key]).count() == 0 and len(dims.CODE_TEXT_IDS) == 79
+
+
+def test_shared_questions_are_ranked_before_references_meet_them(spark):
+    rng = random.Random(11)
+    day = lambda: rng.choice([None, D(2001, 3, 4), D(2001, 5, 6), D(2002, 3, 4), D(2003, 1, 1)])
+    city = lambda: rng.choice(["", "Douai", "Riom"])
+    parsed = spark.createDataFrame([(i, city(), day(), rng.choice(["", "Martin", "Martin Durand"])) for i in range(60)] + [(7, "Riom", D(2002, 3, 4), "")],
+                                   "ref_id int, juri_ville string, ref_date date, ref_text string")
+    rows = spark.createDataFrame([
+        (rng.choice("ab"), rng.choice("xy"), f"D{rng.randrange(60)}", f"Cour de {city()}", rng.choice(["Martin", "Durand c. Martin", None]), day(), rng.choice([None, 100.0]))
+        for _ in range(120)], "ask string, source string, id string, juridiction string, title string, date date, relevance double")
+    asked = parsed.select("ref_id", F.when(F.col("ref_id") % 2 == 0, "a").otherwise("b").alias("ask"))
+    for limit in (1, 3):
+        few = cascade._candidates(asked, rows, parsed, limit)
+        ranks = lambda hits: sorted((r.ref_id, r.rank, r.id, r.source, r.score) for r in cascade.rescore(hits, parsed, limit).collect())
+        assert ranks(few) == ranks(asked.join(rows, "ask").drop("ask"))
+        assert few.count() <= 3 * limit * (parsed.count() + 1) < asked.join(rows, "ask").count()
+
+
+def test_equal_references_ask_once(spark):
+    refs = spark.createDataFrame([(i, "cass 12-12.345") for i in range(30)] + [(None, "cass 12-12.345")], "ref_id int, query string")
+    parsed = cascade.parse_references(refs, "query")
+    rows = to_result(spark.createDataFrame([(f"J{i}", "12-12.345", "Cour de cassation", "2001-01-01") for i in range(30)],
+                                           "id string, numero string, juridiction string, date string"), "dila")
+    assert cascade._by_number(cascade.numbers_of(parsed), rows).count() == 30  # not 30 for each reference
+    found = cascade.resolve_references(refs, rows, limit=1).collect()
+    assert sorted((r.ref_id, r.id) for r in found if r.ref_id is not None) == [(i, "J0") for i in range(30)]
+    assert [r.id for r in found if r.ref_id is None] == [None]
