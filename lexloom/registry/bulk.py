@@ -34,17 +34,17 @@ def _named(**fields: Column | str) -> Column:
     return F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])
 
 
-def _pages(values: DataFrame, path: str, head: str, tail: str) -> None:
-    """Files of at most ``RECORDS`` values each, between ``head`` and ``tail``: an XML file has one root."""
-    page = F.shiftright(F.monotonically_increasing_id(), RECORDS.bit_length() - 1)
+def _pages(values: DataFrame, path: str, head: str, tail: str, records: int = RECORDS) -> None:
+    """Files of at most ``records`` values each (a power of two), between ``head`` and ``tail``: an XML file has one root."""
+    page = F.shiftright(F.monotonically_increasing_id(), records.bit_length() - 1)
     whole = F.concat(F.lit(head), F.array_join(F.collect_list("value"), "\n"), F.lit(tail)).alias("value")
     values.withColumn("_page", page).groupBy("_page").agg(whole).select("value").write.option("maxRecordsPerFile", 1).text(path)
 
 
-def write_xml(df: DataFrame, path: str, row_tag: str, *columns: Column) -> None:
+def write_xml(df: DataFrame, path: str, row_tag: str, *columns: Column, records: int = RECORDS) -> None:
     """One record of ``row_tag`` for each row, many in a file, and one file whose record closes its elements in the wrong order."""
     record = F.to_xml(F.struct(*columns), {"rowTag": row_tag, "attributePrefix": "_", "valueTag": "_VALUE"})
-    _pages(df.select(record.alias("value")), f"{path}/good", "<FONDS>", "</FONDS>")
+    _pages(df.select(record.alias("value")), f"{path}/good", "<FONDS>", "</FONDS>", records)
     df.sparkSession.range(1).select(F.lit(
         f"<FONDS><{row_tag}><META><META_COMMUN><ID>BROKEN</ID></META></META_COMMUN></{row_tag}></FONDS>").alias("value")).write.text(f"{path}/broken")
 

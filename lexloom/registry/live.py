@@ -15,7 +15,7 @@ from lexloom.functions.queries import expand_court_aliases
 from lexloom.operators import filters, windows
 from lexloom.plans import collections
 from lexloom.registry import Query, table
-from lexloom.registry.bulk import write_xml
+from lexloom.registry.bulk import RECORDS, write_xml
 from lexloom.registry.changes import ORACLES as CHANGES
 from lexloom.registry.changes import kept, log
 from lexloom.runtime import shared_dir
@@ -25,6 +25,8 @@ from lexloom.streaming.tables import ChangeTable
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Files of the largest archive of a delivery, where it is large.
+ARCHIVE_FILES = 16
 
 
 def _work(spark: SparkSession, name: str) -> str:
@@ -35,12 +37,14 @@ def daily_deltas(spark: SparkSession, folder: str) -> DataFrame:
     """Customers as statute articles in deliveries of three days, written the newest first; the last day has two archives.
 
     Files meet in triggers of three, so one trigger holds several files of one archive and several days.
+    An archive of more customers has larger files, not more of them, so the number of triggers stays bounded.
     """
     work, c, key = _work(spark, "deltas"), table(spark, folder, "customer"), F.col("c_custkey")
+    records = max(RECORDS, 1 << (c.count() // ARCHIVE_FILES).bit_length())
     for day, every, text in (("20240103/b", 8, "quatre"), ("20240103/a", 4, "trois"), ("20240101", 1, "un"), ("20240102", 2, "deux")):
         article = F.struct(F.struct(F.concat(F.lit("A"), key.cast("string")).alias("ID")).alias("META_COMMUN"),
                            F.struct(F.struct(F.lit("1").alias("NUM"), F.lit("VIGUEUR").alias("ETAT")).alias("META_ARTICLE")).alias("META_SPEC"))
-        write_xml(c.where(key % every == 0).repartition(2), f"{work}/in/{day}", "ARTICLE", article.alias("META"), F.struct(F.lit(text).alias("CONTENU")).alias("BLOC_TEXTUEL"))
+        write_xml(c.where(key % every == 0).repartition(2), f"{work}/in/{day}", "ARTICLE", article.alias("META"), F.struct(F.lit(text).alias("CONTENU")).alias("BLOC_TEXTUEL"), records=records)
     schema = "legiarti string, legitext string, num string, titre_text string, etat string, date_debut string, date_fin string, texte string, nota string"
     target = ChangeTable(spark, f"{work}/table", schema, "legiarti")
     target.create()

@@ -2,6 +2,7 @@ import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.sources import xml
@@ -123,3 +124,21 @@ def test_skip_complete(spark):
     held = spark.createDataFrame([(1, "x" * 200), (2, "court")], "id int, text string")
     batch = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (3, "d")], "id int, text string")
     assert sorted(r.id for r in flows.skip_complete(batch, held, "id").collect()) == [2, 3]
+
+
+def test_large_archives_have_larger_files_not_more(spark, tmp_path, monkeypatch):
+    from lexloom.registry import live
+
+    class Written(Exception):
+        pass
+
+    def written(spark, path, *args, **options):
+        raise Written(path)
+
+    spark.range(20_000).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(live.flows, "stream_deltas", written)
+    with pytest.raises(Written) as raised:
+        live.daily_deltas(spark, str(tmp_path))
+    largest = spark.read.text(f"{raised.value.args[0]}/20240101/good")
+    # 512 records a file made 40 files; one trigger for every three never ends on large tables.
+    assert len(largest.inputFiles()) <= live.ARCHIVE_FILES and largest.where(F.col("value").contains("<ARTICLE>")).count() == 20_000
