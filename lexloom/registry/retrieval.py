@@ -356,7 +356,7 @@ SELECT query_id, count(*) AS n, round(max(score), 4) AS best FROM score GROUP BY
 
 def paging(spark: SparkSession, folder: str) -> DataFrame:
     """Second page of ten with the truncation marker."""
-    matches = stage(_any_word(spark, folder), "matches")
+    matches = stage(_any_word(spark, folder), "matches", rows_per_file=search.FILE_ROWS)
     second = page_hits(search.top_k(matches, 20), 10, 10)
     return page_marker(second, search.totals(matches), offset=10).select("query_id", "total", "returned", "truncated", F.col("next_offset").cast("long").alias("next_offset"))
 

@@ -32,17 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return private
 
 
-def stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: Sequence[str] = (), rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage and lets several branches of a plan share one computation.
     The copy is columnar, so later branches still prune columns and push filters.
+    Narrow rows shrink so far on disk that a split by bytes holds very many of them; with
+    ``rows_per_file`` a file ends after so many, and as every file has its cost in a split,
+    a later task gets a bounded number of rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{_STAGE_FOLDER}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     if (owned := _staged.get()) is not None:
         owned.append(path)
     writer.parquet(path)

@@ -353,3 +353,28 @@ def test_equal_references_ask_once(spark):
     found = cascade.resolve_references(refs, rows, limit=1).collect()
     assert sorted((r.ref_id, r.id) for r in found if r.ref_id is not None) == [(i, "J0") for i in range(30)]
     assert [r.id for r in found if r.ref_id is None] == [None]
+
+
+def test_hits_meet_documents_without_another_exchange(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["arrêt", "cour", "vente", "bail", "route"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=6)), f"p{i % 7}") for i in range(200)], "doc_id long, text string, parent string")
+    queries = spark.createDataFrame([(i, f'"{w}"') for i, w in enumerate(words)], "query_id int, query string")
+    staged = {}
+    monkeypatch.setattr(search, "HITS", 20)
+    monkeypatch.setattr(search, "FILE_ROWS", 30)
+    monkeypatch.setattr(search, "stage", lambda df, name, **options: staged.setdefault(name, stage(df, name, **options)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = search.attach(search.match_docs(queries, docs, "doc_id", ["text"]), docs, "doc_id", "parent")
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        found = {(r.query_id, r.doc_id, r.parent) for r in hits.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {(i, r.doc_id, r.parent) for r in docs.collect() for i, w in enumerate(words) if w in r.text.split()}
+    assert "hashpartitioning(query_id" not in plan and plan.count("Exchange hashpartitioning(doc_id") == 2
+    # A split by bytes takes whole files, so their rows bound those of a task.
+    sizes = staged["scan-postings"].groupBy(F.input_file_name()).count().collect()
+    assert max(r["count"] for r in sizes) <= 30 < sum(r["count"] for r in sizes)
