@@ -13,7 +13,7 @@ from lexloom.functions.text import fold
 from lexloom.operators.filters import by_docket, court_matches
 from lexloom.operators.windows import dedup_by_parent, hit_order, keep_best
 from lexloom.plans.search import match_docs
-from lexloom.runtime import blank_to_null
+from lexloom.runtime import blank_to_null, stage
 from lexloom.schemas import COLLECTION_COLUMNS, TEXT_COLUMNS
 
 
@@ -36,7 +36,11 @@ def collection_matches(queries: DataFrame, df: DataFrame, collection: str, keep:
 
 
 def with_texts(hits: DataFrame, df: DataFrame, id_col: str) -> DataFrame:
-    """Ranked hits with the long texts of their documents, in the collection's order of columns."""
+    """Ranked hits with the long texts of their documents, in the collection's order of columns.
+
+    The hits are written before, so their number is known and few hits go to the texts instead of all texts to them.
+    """
+    hits = stage(hits, "ranked")
     texts = df.select(id_col, *[c for c in LONG_TEXTS if c in df.columns])
     own = [c for c in hits.columns if c not in df.columns]
     return hits.join(texts, id_col).select(*[c for c in own if c == "query_id"], *df.columns, *[c for c in own if c != "query_id"])

@@ -13,21 +13,17 @@ FIELD_GAP = 1 << 24
 DOCUMENT_MARK = ""
 
 
-def _tokens(docs: DataFrame, id_col: str, fields: list[str], collection: str | None,
-            runs: dict[int, list[int]]) -> DataFrame:
-    """``collection, doc_id, doc_len, term, pos``: every run of words that may have been asked for (see
-    :func:`query_postings`), and one row per document with the empty term at position -1.
-
-    The outer form of the generator keeps the optimizer from adding a non-emptiness filter, which
-    would split every text twice.
-    """
+def _offered(docs: DataFrame, id_col: str, fields: list[str], collection: str | None,
+             runs: dict[int, list[int]]) -> DataFrame:
+    """``collection, doc_id, doc_len, _pairs``: every run of words of a document that may have been asked for
+    (see :func:`query_postings`) with its place, and the empty term at place -1."""
     split = docs.select(
         (F.lit(collection) if collection else F.col("collection")).alias("collection"), F.col(id_col).alias("doc_id"),
         *[words(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"_w{i}") for i, f in enumerate(fields)])
     length = sum((F.size(f"_w{i}") for i in range(len(fields))), F.lit(0)).alias("doc_len")
     mark = F.array(F.struct(F.lit(DOCUMENT_MARK).alias("term"), F.lit(-1).alias("pos")))
     parts = [_runs(f"_w{i}", i * FIELD_GAP, n, letters) for i in range(len(fields)) for n, letters in sorted(runs.items())]
-    return split.select("collection", "doc_id", length, F.inline_outer(F.concat(mark, *[p for run in parts for p in run])))
+    return split.select("collection", "doc_id", length, F.concat(mark, *[p for run in parts for p in run]).alias("_pairs"))
 
 
 def _runs(col: str, base: int, n: int, letters: list[int]) -> list[Column]:
@@ -56,11 +52,11 @@ def _word_runs(split: DataFrame) -> DataFrame:
 
     The (word, position) pairs of a document are sorted, the places where a new word begins are
     listed, and each run becomes one posting. Nothing is grouped across rows, so building an
-    index needs no shuffle.
+    index needs no shuffle. Pairs without a word come first and are dropped as one run.
     """
     pairs = split.withColumn("_sorted", F.sort_array("_pairs")).withColumn("_starts", F.filter(
         F.transform("_sorted", lambda _, i: i),
-        lambda at: (at == 0) | (F.get("_sorted", at)["term"] != F.get("_sorted", at - 1)["term"])))
+        lambda at: (at == 0) | ~F.get("_sorted", at)["term"].eqNullSafe(F.get("_sorted", at - 1)["term"])))
 
     def run(at, i):
         end = F.coalesce(F.get("_starts", i + 1), F.size("_sorted"))
@@ -69,7 +65,7 @@ def _word_runs(split: DataFrame) -> DataFrame:
                         positions.alias("positions"))
 
     rows = pairs.select(
-        "collection", "doc_id", F.size("_pairs").alias("doc_len"), F.inline_outer(F.transform("_starts", run)))
+        "collection", "doc_id", "doc_len", F.inline_outer(F.transform("_starts", run)))
     return rows.where(F.col("term").isNotNull()).select("collection", "term", "doc_id", "tf", "doc_len", "positions")
 
 
@@ -80,29 +76,31 @@ def postings(docs: DataFrame, id_col: str, fields: list[str], collection: str |
         *[words(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"_w{i}") for i, f in enumerate(fields)])
     parts = [_offset_tokens(f"_w{i}", i * FIELD_GAP) for i in range(len(fields))]
     pairs = parts[0] if len(parts) == 1 else F.concat(*parts)
-    return _word_runs(split.select("collection", "doc_id", pairs.alias("_pairs")))
+    return _word_runs(split.select("collection", "doc_id", F.size(pairs).alias("doc_len"), pairs.alias("_pairs")))
 
 
 def query_postings(docs: DataFrame, id_col: str, fields: list[str], keys: DataFrame, runs: dict[int, list[int]],
-                   collection: str | None = None, positions: bool = True) -> DataFrame:
+                   collection: str | None = None) -> DataFrame:
     """Postings of just the asked runs of words (column ``term`` of ``keys``), for searching without an index.
 
     A run is its words with a space between them; with a star at its end it stands for every run
     that begins so, and these count together. ``runs`` tells how many words the asked runs have
     and how many letters of the last word are given (0: all), so a document offers only such runs
-    and meets the asked ones by equality. Other words are dropped before the only shuffle. One
-    extra row per document under the empty term carries its length. Positions may be left out.
+    and meets the asked ones by equality. They are counted inside its own row, so no task collects
+    the words of its documents. One extra row per document under the empty term carries its length.
+    Rows that share an id have postings each; see :func:`joined_postings`.
     """
     mark = keys.sparkSession.range(1).select(F.lit(DOCUMENT_MARK).alias("term"))
     kept = keys.select("term").unionByName(mark).distinct()
-    tokens = _tokens(docs, id_col, fields, collection, runs).join(kept, "term", "left_semi")
+    return _word_runs(_offered(docs, id_col, fields, collection, runs)).join(kept, "term", "left_semi").select(
+        "collection", "term", "doc_id", "tf", "doc_len", "positions")
+
+
+def joined_postings(posts: DataFrame, parts: int) -> DataFrame:
+    """Rows that share an id are one document: a place counts once. The postings are dealt to ``parts`` tasks."""
     key = ["collection", "term", "doc_id"]
-    ids = docs.select((F.lit(collection) if collection else F.col("collection")).alias("collection"), F.col(id_col).alias("doc_id"))
-    if not positions and ids.groupBy("collection", "doc_id").count().where("count > 1").isEmpty():
-        return tokens.groupBy(*key).agg(F.count("*").cast("int").alias("tf"), F.max("doc_len").alias("doc_len")).withColumn(
-            "positions", F.lit(None).cast("array<int>"))
-    # Rows that share an id are one document: a place counts once.
-    found = tokens.groupBy(*key).agg(F.first("doc_len").alias("doc_len"), F.collect_set("pos").alias("positions"))
+    found = posts.repartition(parts, *key).groupBy(*key).agg(
+        F.first("doc_len").alias("doc_len"), F.array_distinct(F.flatten(F.collect_list("positions"))).alias("positions"))
     return found.select(*key, F.size("positions").alias("tf"), "doc_len", F.sort_array("positions").alias("positions"))
 
 

@@ -378,3 +378,36 @@ def test_hits_meet_documents_without_another_exchange(spark, monkeypatch):
     # A split by bytes takes whole files, so their rows bound those of a task.
     sizes = staged["scan-postings"].groupBy(F.input_file_name()).count().collect()
     assert max(r["count"] for r in sizes) <= 30 < sum(r["count"] for r in sizes)
+
+
+def test_memory_of_a_search_does_not_grow_with_words_or_queries(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b a" if i % 2 else "a c d", f"s{i}") for i in range(30)], "id long, text string, source string")
+    queries = spark.createDataFrame([(i, '"a"') for i in range(20)], "query_id int, query string")
+    monkeypatch.setattr(search, "HITS", 20)
+    pieces = search._pieces(search.parsed(queries), search.SPAN)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        posts = index.query_postings(docs, "id", ["text"], pieces, {1: [0]}, "documents")
+        assert "Exchange hashpartitioning(collection" not in plan(posts) and "doc_id" not in plan(posts).split("Aggregate(keys=[", 1)[-1].split("]")[0]
+        assert {(r.doc_id, r.term, r.tf, r.doc_len) for r in posts.collect()} == {
+            (i, *x) for i in range(30) for x in (("", 1, 3), ("a", 1 + i % 2, 3))}
+        found = search.match_docs(queries, docs, "id", ["text"])
+        # Hits are dealt before the twenty queries meet them.
+        assert 0 < plan(found).index("BroadcastHashJoin [collection") < plan(found).index("Exchange hashpartitioning(doc_id")
+        assert {(r.query_id, r.doc_id) for r in found.collect()} == {(q, i) for q in range(20) for i in range(30)}
+        best = search.top_k(found, 2)
+        # Few ranked hits go to the texts; the texts stay where they are.
+        assert "Exchange hashpartitioning(id" not in plan(collections.with_texts(best.withColumnRenamed("doc_id", "id"), docs.select("id", "text"), "id"))
+        assert "Exchange hashpartitioning(doc_id" not in plan(search.with_snippets(best, docs, search.parsed(queries), "id", "text"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_many_atoms_are_not_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b"), (1, "b a"), (2, "b"), (None, "a")], "id long, text string")
+    queries = spark.createDataFrame([(1, '"a" "b"'), (2, '"b" -"a"'), (3, "a*")], "query_id int, query string")
+    found = lambda: {(r.query_id, r.doc_id, r.score) for r in search.match_docs(queries, docs, "id", ["text"]).collect()}
+    few = found()
+    monkeypatch.setattr(search, "BATCH", 1)
+    assert found() == few and {x[:2] for x in few} == {(1, 1), (2, 2), (3, 1), (3, None)}
