@@ -14,21 +14,24 @@ from lexloom.llm.neardup import keep_one
 from lexloom.llm.packing import pack_documents
 from lexloom.llm.quality import fit, keep_good
 from lexloom.llm.recompress import remove_repeats
-from lexloom.runtime import stage
+from lexloom.runtime import short_batches, stage
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose passages score as good ones do; the model learns from ``labels``."""
+    short_batches(spark)
     return keep_good(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id of each group of near duplicates (five words, similarity 0.8) stays."""
+    short_batches(spark)
     return keep_one(docs, words_per_shingle=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that an earlier document has are removed; a document may end up empty, but stays."""
+    short_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     cut = remove_repeats(docs, with_text=True, others=others)
     own = {c: F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns}
@@ -47,6 +50,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of sequences of 2048 tokens."""
     import public_tokenizers
 
+    short_batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
