@@ -54,17 +54,6 @@ def stage(df: DataFrame, name: str, partition_by: Sequence[str] = (), rows_per_f
     return spark.read.schema(df.schema).parquet(path)
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send at most ``rows`` rows at a time to Python in this session; a smaller setting of the session stays.
-
-    Arrow batches are counted in rows, 10,000 by default. Of whole documents that is tens of MB, held
-    by a task as a growing copy outside the heap and by its Python worker once more.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:  # 0 or less: unlimited
-        spark.conf.set(name, rows)
-
-
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Remove at the end all folders that :func:`stage` writes inside, also after a failure.
