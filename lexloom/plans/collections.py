@@ -12,8 +12,8 @@ from lexloom.functions.queries import split_constitutional_ref
 from lexloom.functions.text import fold
 from lexloom.operators.filters import by_docket, court_matches
 from lexloom.operators.windows import dedup_by_parent, hit_order, keep_best
-from lexloom.plans.search import match_docs
-from lexloom.runtime import blank_to_null, stage
+from lexloom.plans.search import BATCH, match_docs
+from lexloom.runtime import blank_to_null, small, stage
 from lexloom.schemas import COLLECTION_COLUMNS, TEXT_COLUMNS
 
 
@@ -40,7 +40,7 @@ def with_texts(hits: DataFrame, df: DataFrame, id_col: str) -> DataFrame:
 
     The hits are written before, so their number is known and few hits go to the texts instead of all texts to them.
     """
-    hits = stage(hits, "ranked")
+    hits = small(stage(hits, "ranked"), BATCH)
     texts = df.select(id_col, *[c for c in LONG_TEXTS if c in df.columns])
     own = [c for c in hits.columns if c not in df.columns]
     return hits.join(texts, id_col).select(*[c for c in own if c == "query_id"], *df.columns, *[c for c in own if c != "query_id"])
@@ -122,7 +122,7 @@ def search_constit(queries: DataFrame, df: DataFrame, k: int = 20, nature: str |
     wanted = asked.select("query_id", F.coalesce(F.col("_ref.nature"), F.lit(nature).cast("string")).alias("_nature"))
     keep = _both(fold("juridiction").contains("conseil constitutionnel"), between("decision_enriched", date_min, date_max))
     hits = collection_matches(asked.select("query_id", "query"), df, "decision_enriched", keep)
-    hits = hits.join(wanted, "query_id").where(F.col("_nature").isNull() | (F.col("nature") == F.col("_nature")))
+    hits = hits.join(small(wanted, BATCH), "query_id").where(F.col("_nature").isNull() | (F.col("nature") == F.col("_nature")))
     return with_texts(ranked(hits.drop("_nature"), "decision_enriched", k, "date_desc"), df, "id")
 
 
@@ -141,7 +141,7 @@ def search_echr(queries: DataFrame, df: DataFrame, k: int = 20, min_len: int = 2
         "/", F.regexp_extract("query", shape, 1), F.regexp_extract("query", shape, 2)))
     asked = queries.select("query_id", number.alias("_appno"))
     sized = df.withColumn("_length", F.length(F.coalesce("text", F.lit(""))))
-    hits = collection_matches(queries, sized, "echr_decision", F.col("_length") > min_len).join(asked, "query_id")
+    hits = collection_matches(queries, sized, "echr_decision", F.col("_length") > min_len).join(small(asked, BATCH), "query_id")
     best = keep_best(
         hits, ["query_id"], F.when(F.col("appno") == F.col("_appno"), 0).otherwise(1),
         F.when(F.col("doctype").isin(dims.FULL_JUDGMENTS), 0).otherwise(1), F.desc("score"),
@@ -156,7 +156,7 @@ def search_cjeu(queries: DataFrame, df: DataFrame, k: int = 20) -> DataFrame:
         F.upper(F.regexp_extract("query", shape, 1)), F.lit("-"),
         F.regexp_replace(F.regexp_extract("query", shape, 2), "^0+(?=\\d)", ""), F.lit("/"),
         F.regexp_extract("query", shape, 3)))
-    hits = collection_matches(queries, df, "cjeu_decision").join(queries.select("query_id", case.alias("_case")), "query_id")
+    hits = collection_matches(queries, df, "cjeu_decision").join(small(queries.select("query_id", case.alias("_case")), BATCH), "query_id")
     best = keep_best(hits, ["query_id"], F.when(F.col("affaire_num") == F.col("_case"), 0).otherwise(1),
                      F.desc("score"), F.col("celex"), k=k, rank_col="rank").drop("_case")
     return with_texts(best, df, "celex")

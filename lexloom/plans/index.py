@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import words
+from lexloom.runtime import small
 
 # Positions of the i-th field start at i * FIELD_GAP, so a phrase never crosses two fields.
 FIELD_GAP = 1 << 24
 # Term of the one row per document that restricted postings carry for its length.
 DOCUMENT_MARK = ""
+# Atoms of queries that every task can hold.
+BATCH = 100_000
 
 
 def _offered(docs: DataFrame, id_col: str, fields: list[str], collection: str | None,
@@ -80,19 +83,19 @@ def postings(docs: DataFrame, id_col: str, fields: list[str], collection: str |
 
 
 def query_postings(docs: DataFrame, id_col: str, fields: list[str], keys: DataFrame, runs: dict[int, list[int]],
-                   collection: str | None = None) -> DataFrame:
+                   collection: str | None = None, most: int = BATCH) -> DataFrame:
     """Postings of just the asked runs of words (column ``term`` of ``keys``), for searching without an index.
 
     A run is its words with a space between them; with a star at its end it stands for every run
     that begins so, and these count together. ``runs`` tells how many words the asked runs have
     and how many letters of the last word are given (0: all), so a document offers only such runs
     and meets the asked ones by equality. They are counted inside its own row, so no task collects
-    the words of its documents. One extra row per document under the empty term carries its length.
+    the words of its documents; up to ``most`` asked runs go to the documents, whose words then are not exchanged. One extra row per document under the empty term carries its length.
     Rows that share an id have postings each; see :func:`joined_postings`.
     """
     mark = keys.sparkSession.range(1).select(F.lit(DOCUMENT_MARK).alias("term"))
     kept = keys.select("term").unionByName(mark).distinct()
-    return _word_runs(_offered(docs, id_col, fields, collection, runs)).join(kept, "term", "left_semi").select(
+    return _word_runs(_offered(docs, id_col, fields, collection, runs)).join(small(kept, most), "term", "left_semi").select(
         "collection", "term", "doc_id", "tf", "doc_len", "positions")
 
 

@@ -73,6 +73,14 @@ def staging(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(settings).delete(folder, True)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A table of at most ``most`` rows goes to every task, also where the planner's own limit is lower or off.
+
+    Without that the table it meets would be exchanged and sorted. A larger one is left to the planner.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def fence(df: DataFrame, *columns: str) -> DataFrame:
     """Keep the optimizer from copying the expressions behind ``columns`` into later filters.
 

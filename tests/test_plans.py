@@ -411,3 +411,29 @@ def test_many_atoms_are_not_broadcast(spark, monkeypatch):
     few = found()
     monkeypatch.setattr(search, "BATCH", 1)
     assert found() == few and {x[:2] for x in few} == {(1, 1), (2, 2), (3, 1), (3, None)}
+
+
+def test_few_searches_exchange_no_words_or_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b a" if i % 2 else "a c d", f"s{i}") for i in range(30)], "id long, text string, source string")
+    queries = spark.createDataFrame([(i, '"a" "b"') for i in range(20)], "query_id int, query string")
+    monkeypatch.setattr(search, "HITS", 20)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pieces = search._pieces(search.parsed(queries), search.SPAN)
+        posts = index.query_postings(docs, "id", ["text"], pieces, {1: [0]}, "documents")
+        assert "SortMergeJoin" not in plan(posts)
+        atoms = search.parsed(queries)
+        found = search.match_atoms(atoms, docs, "id", ["text"])
+        assert "SortMergeJoin [term" not in plan(found)
+        assert {(r.query_id, r.doc_id) for r in found.collect()} == {(q, i) for q in range(20) for i in range(1, 30, 2)}
+        best = search.top_k(found, 2)
+        assert "SortMergeJoin" not in plan(collections.with_texts(best.withColumnRenamed("doc_id", "id"), docs.select("id", "text"), "id"))
+        assert "SortMergeJoin" not in plan(search.with_snippets(best, docs, atoms, "id", "text"))
+        stored = stage(index.postings(docs, "id", ["text"], "documents"), "postings")
+        begun = search.parsed(spark.createDataFrame([(1, "b*")], "query_id int, query string"))
+        assert {r.doc_id for r in search.match(begun, stored, index.corpus_stats(stored)).collect()} == set(range(1, 30, 2))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
