@@ -12,6 +12,7 @@ from lexloom.functions.queries import split_constitutional_ref
 from lexloom.functions.text import fold
 from lexloom.operators.filters import by_docket, court_matches
 from lexloom.operators.windows import dedup_by_parent, hit_order, keep_best
+from lexloom.plans import search
 from lexloom.plans.search import BATCH, match_docs
 from lexloom.runtime import blank_to_null, small, stage
 from lexloom.schemas import COLLECTION_COLUMNS, TEXT_COLUMNS
@@ -81,13 +82,17 @@ def search_collection(queries: DataFrame, df: DataFrame, collection: str, k: int
 
 def search_statutes(queries: DataFrame, versions: DataFrame, k: int = 20, legitext: str | None = None,
                     sort: str = "relevance", date_min: str | None = None, date_max: str | None = None) -> DataFrame:
-    """Statute articles, the best one per parent text; deduplicated before the limit, so it is exact."""
+    """Statute articles, the best one per parent text; deduplicated before the limit, so it is exact.
+
+    The hits are written before their versions meet, so they are dealt over as many tasks as their number asks for.
+    """
     keep = _both(F.col("legitext") == legitext if legitext else None, between("statute_version", date_min, date_max))
     # Every version is a document of its own; of an article the best version counts, the newer one in a tie.
     version = F.concat_ws("\u0001", "legiarti", F.coalesce(F.col("date_debut").cast("string"), F.lit("")))
     dated = versions.withColumn("_version", version)
-    hits = collection_matches(queries, dated, "statute_version", keep, "_version")
-    best = keep_best(hits, ["query_id", "legiarti"], F.desc("score"), F.col("date_debut").desc_nulls_last())
+    hits = stage(collection_matches(queries, dated, "statute_version", keep, "_version"), "matches", rows_per_file=search.FILE_ROWS)
+    dealt = hits.repartition(1 + hits.count() // search.HITS, "query_id", "legiarti")
+    best = keep_best(dealt, ["query_id", "legiarti"], F.desc("score"), F.col("date_debut").desc_nulls_last())
     first = ranked(dedup_by_parent(best, "legitext", "legiarti"), "statute_version", k, sort)
     return with_texts(first, dated, "_version").drop("_version")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom import dims
 from lexloom.operators.filters import to_result
+from lexloom.operators.windows import keep_best
 from lexloom.plans import cascade, collections, directory, federation, index, search, thesaurus
 from lexloom.runtime import shared_dir, stage, staging
 
@@ -437,3 +438,23 @@ def test_few_searches_exchange_no_words_or_texts(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_versions_of_statutes_are_dealt_by_their_number(spark, monkeypatch):
+    versions = spark.createDataFrame([(f"A{i % 20}", f"T{i % 3}", "bail", D(2001, 1, 1 + i // 20)) for i in range(60)],
+                                     "legiarti string, legitext string, texte string, date_debut date")
+    queries = spark.createDataFrame([(i, '"bail"') for i in range(4)], "query_id int, query string")
+    plans = []
+
+    def planned(df, keys, *order, **options):
+        best = keep_best(df, keys, *order, **options)
+        plans.append(best._jdf.queryExecution().executedPlan().toString())
+        return best
+
+    monkeypatch.setattr(search, "HITS", 30)
+    monkeypatch.setattr(collections, "keep_best", planned)
+    found = collections.search_statutes(queries, versions, 5).collect()
+    assert re.search(r"Exchange hashpartitioning\(query_id#\d+, legiarti#\d+, 9\), REPARTITION_BY_NUM", plans[0])
+    assert not re.search(r"hashpartitioning\([^)]*legiarti#\d+, 4\)", plans[0])
+    assert {(r.query_id, r.legitext, r.legiarti, r.date_debut) for r in found} == {
+        (q, *x, D(2001, 1, 3)) for q in range(4) for x in (("T0", "A11"), ("T1", "A0"), ("T2", "A1"))}
